@@ -25,7 +25,6 @@ FALLBACK_FORMATS = [
     "MMM d, yyyy",
     "MMM d, yyyy HH:mm",
     "MMMM d, yyyy",
-    "EEE, d MMM yyyy",
 ]
 
 
@@ -52,8 +51,9 @@ def text_to_timestamp(c: Column) -> Column:
     def group(pattern, n):
         return F.regexp_extract(day_part, pattern, n)
 
+    no_weekday = F.regexp_replace(text, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     fallback = F.coalesce(
-        *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in FALLBACK_FORMATS]
+        *[F.try_to_timestamp(no_weekday, F.lit(f)).cast("timestamp_ntz") for f in FALLBACK_FORMATS]
     )
     return (
         F.when(is_day_first, _midnight(group(day_first, 3), group(day_first, 2), group(day_first, 1)))
