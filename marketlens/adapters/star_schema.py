@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketlens import schemas as S
 from marketlens.operators.convert import ORDER_FACT_INPUTS, derive_orders
 from marketlens.operators.enrich import Sources
-from marketlens.sources.reports import report_channels, write_reports
+from marketlens.sources.reports import read_reports, report_channels, write_reports
 from marketlens.sources.sheets import headers_of
 
 # Order years: one report per year. The first one predates discounts and fees.
@@ -150,7 +150,7 @@ class Star:
         def read(kind):
             return self.spark.read.parquet(f"{root}/{kind}")
 
-        orders = self.spark.read.schema(S.ORDERS_SCHEMA).parquet(f"{root}/orders")
+        orders = read_reports(self.spark, f"{root}/orders", S.ORDERS_SCHEMA)
         channels = report_channels(self.manifest(), self.channels())
         return Sources(orders, read("combo"), read("cashflow"), read("master"), channels)
 

@@ -54,17 +54,31 @@ def query(build: Callable[[A.Star], DataFrame]) -> Callable[[A.Star], DataFrame]
     return build
 
 
-_stored: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def written(star: A.Star, what: str, write: Callable[[str], None]) -> str:
+    """Folder of what a session has written for a data folder, once, as an upload is stored once."""
+    key = (star.spark.sparkContext.applicationId, star.folder, what)
+    if key not in _written:
+        path = f"{work_dir(star.spark)}/{what}-{uuid.uuid4().hex}"
+        write(path)
+        _written[key] = path
+    return _written[key]
 
 
 def dashboard(star: A.Star) -> Dashboard:
-    """Dashboard over the stored tables; a session converts a folder's sheets once, as an upload does."""
-    key = (star.spark.sparkContext.applicationId, star.folder)
-    if key not in _stored:
-        root = f"{work_dir(star.spark)}/tables-{uuid.uuid4().hex}"
-        star.store(root)
-        _stored[key] = root
-    return Dashboard(star.stored(_stored[key]))
+    """Dashboard over the stored tables."""
+    return Dashboard(star.stored(written(star, "tables", star.store)))
+
+
+def landed_sheets(star: A.Star) -> str:
+    """Folder of the uploaded order sheets."""
+    return written(star, "landing", lambda path: reports.write_reports(star.raw_orders(), path))
+
+
+def order_sheets(star: A.Star) -> DataFrame:
+    return sheets.clean_sheet(reports.read_reports(star.spark, landed_sheets(star)))
 
 
 def stored_orders(star: A.Star) -> DataFrame:
@@ -164,7 +178,7 @@ def report_validation(star):
     headers = star.order_headers()
     mapped = mapping.map_orders(headers)
     converted = convert.drop_undated(
-        convert.typed_order_lines(star.raw_orders(), convert.usable_mapping(headers, mapped, "orders"))
+        convert.typed_order_lines(order_sheets(star), convert.usable_mapping(headers, mapped, "orders"))
     )
     return mapping.report_status(headers, mapped, converted, "orders")
 
@@ -234,7 +248,7 @@ def text_defaults(star):
 @query
 def convert_orders(star):
     headers = star.order_headers()
-    return convert.convert_orders(star.raw_orders(), headers, mapping.map_orders(headers))
+    return convert.convert_orders(order_sheets(star), headers, mapping.map_orders(headers))
 
 
 @query
@@ -280,7 +294,7 @@ def single_report_summary(star):
 def sink_partitioned(star):
     path = f"{work_dir(star.spark)}/sink-{uuid.uuid4().hex}"
     reports.write_reports(star.orders([*KEY, "order_ts", "gross_sales"]), path)
-    return star.spark.read.parquet(path).select(*KEY, "order_ts", "gross_sales")
+    return reports.read_reports(star.spark, path).select(*KEY, "order_ts", "gross_sales")
 
 
 @query
@@ -292,14 +306,15 @@ def report_removal(star):
 @query
 def incremental_ingest(star):
     root = f"{work_dir(star.spark)}/ingest-{uuid.uuid4().hex}"
-    landing, target = f"{root}/landing", f"{root}/orders"
-    reports.write_reports(star.raw_orders(), landing)
+    target = f"{root}/orders"
     headers = star.order_headers()
     mapped = mapping.map_orders(headers)
-    ingest_available(
-        star.spark, landing, target, f"{root}/checkpoint", lambda sheet: convert.convert_orders(sheet, headers, mapped)
-    )
-    return star.spark.read.schema(S.ORDERS_SCHEMA).parquet(target)
+
+    def convert_sheet(sheet):
+        return convert.convert_orders(sheets.clean_sheet(sheet), headers, mapped)
+
+    ingest_available(star.spark, landed_sheets(star), target, f"{root}/checkpoint", convert_sheet)
+    return reports.read_reports(star.spark, target, S.ORDERS_SCHEMA)
 
 
 # ---------------------------------------------------------------------------

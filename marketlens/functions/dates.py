@@ -7,32 +7,25 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import trim_text
+from marketlens.functions.text import WHITE_SPACE, trim_text
 
 # Day 0 of spreadsheet serial dates, and the serials of years 1 and 9999.
 _SERIAL_EPOCH = dt.datetime(1899, 12, 30)
 _FIRST_SERIAL = -693593
 _LAST_SERIAL = 2958465
 
-# Layouts tried, in this order, on text that is not d/m/y or y/m/d.
-FALLBACK_FORMATS = [
-    "yyyyMMdd",
-    "yyyy.M.d",
-    "M.d.yyyy",
-    "d MMM yyyy",
-    "d MMM yyyy HH:mm",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMM d, yyyy HH:mm",
-    "MMMM d, yyyy",
-]
+# Layouts tried on text that is not d/m/y or y/m/d, by the shape of the text.
+FALLBACK_FORMATS = {
+    r"^\d{8}$": ["yyyyMMdd"],
+    r"^\d+\.\d+\.\d+$": ["yyyy.M.d", "M.d.yyyy"],
+    r"^\d+ [A-Za-z]{3}": ["d MMM yyyy", "d MMMM yyyy", "d MMM yyyy HH:mm"],
+    r"^[A-Za-z]{3,} \d": ["MMM d, yyyy", "MMMM d, yyyy", "MMM d, yyyy HH:mm"],
+}
+_WEEKDAY = r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 
 
-def _midnight(year: Column, month: Column, day: Column) -> Column:
-    zero = F.lit(0)
-    year, month, day = (part.try_cast("int") for part in (year, month, day))
-    made = F.try_make_timestamp_ntz(year, month, day, zero, zero, F.lit(0).cast("decimal(16,6)"))
-    return F.when(year >= 1, made)
+def _parsed(c: Column, *formats: str) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
 def text_to_timestamp(c: Column) -> Column:
@@ -42,24 +35,14 @@ def text_to_timestamp(c: Column) -> Column:
     only where the text has neither shape.
     """
     text = trim_text(c)
-    day_part = F.regexp_extract(text, r"(?U)^[^\sT]*", 0)
-    day_first = r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})$"
-    year_first = r"^(\d{4})[/\-](\d{1,2})[/\-](\d{1,2})$"
-    is_day_first = day_part.rlike(day_first)
-    is_year_first = day_part.rlike(year_first)
-
-    def group(pattern, n):
-        return F.regexp_extract(day_part, pattern, n)
-
-    no_weekday = F.regexp_replace(text, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    fallback = F.coalesce(
-        *[F.try_to_timestamp(no_weekday, F.lit(f)).cast("timestamp_ntz") for f in FALLBACK_FORMATS]
-    )
-    return (
-        F.when(is_day_first, _midnight(group(day_first, 3), group(day_first, 2), group(day_first, 1)))
-        .when(is_year_first, _midnight(group(year_first, 1), group(year_first, 2), group(year_first, 3)))
-        .when(text != "", fallback)
-    )
+    # Up to the first white space or T, with either separator written as a slash.
+    day_part = F.substring_index(F.translate(text, WHITE_SPACE + "T-", " " * len(WHITE_SPACE) + " /"), " ", 1)
+    rest = F.regexp_replace(text, _WEEKDAY, "")
+    value = F.when(day_part.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), _parsed(day_part, "d/M/yyyy"))
+    value = value.when(day_part.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), _parsed(day_part, "yyyy/M/d"))
+    for shape, formats in FALLBACK_FORMATS.items():
+        value = value.when(rest.rlike(shape), _parsed(rest, *formats))
+    return value
 
 
 def serial_to_timestamp(c: Column) -> Column:

@@ -8,16 +8,15 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as trimmed around a cell: the Unicode property plus the four
-# ASCII separators it leaves out.
-_SPACE = r"[\s\x1c-\x1f]"
 # Composed Latin letters all lie below the CJK blocks.
 _LAST_LETTER_BLOCK = 0x3000
+# Every white-space character: tabs, no-break spaces, separators, ...
+WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
 def trim_text(c: Column) -> Column:
-    """Trim every kind of white space (tabs, no-break spaces, ...)."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Trim every kind of white space."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -25,8 +24,7 @@ def text_or_empty(c: Column) -> Column:
 
 
 def text_or_default(c: Column, default: str) -> Column:
-    trimmed = trim_text(c)
-    return F.when(trimmed != "", trimmed).otherwise(F.lit(default))
+    return F.coalesce(F.nullif(trim_text(c), F.lit("")), F.lit(default))
 
 
 @cache

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import schemas as S
@@ -54,7 +54,10 @@ class Sources:
 
     def order_lines(self, columns: list[str]) -> DataFrame:
         """Stored order lines; a column no report has is simply not there."""
-        return self.orders.select(*[c for c in columns if c in self.orders.columns])
+        orders = self.orders
+        if orders is None:
+            orders = SparkSession.active().createDataFrame([], S.ORDERS_SCHEMA)
+        return orders.select(*[c for c in columns if c in orders.columns])
 
     def for_report(self, report_id: str) -> Sources:
         """One report's lines with all side inputs, and no channel tags."""

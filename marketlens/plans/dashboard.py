@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import schemas as S
@@ -84,7 +84,7 @@ class Dashboard:
 
     def grouped(self, key: str, filters: Filters = _NO_FILTERS) -> DataFrame:
         if key not in S.GROUP_KEYS:
-            return grouping.empty_groups(self._spark())
+            return grouping.empty_groups(SparkSession.active())
         return grouping.grouped(self._group_lines(filters, [key]), key)
 
     def grouped_page(
@@ -131,8 +131,3 @@ class Dashboard:
             raise ValueError(f"unknown group key: {group_key}")
         groups = self.grouped(group_key, filters).orderBy(*paging.group_order(sort, direction))
         return paging.relabel(groups, columns, group_key)
-
-    def _spark(self):
-        from pyspark.sql import SparkSession
-
-        return SparkSession.active()

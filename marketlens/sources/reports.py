@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scan_reports(spark: SparkSession, *paths: str) -> DataFrame:
@@ -15,6 +16,19 @@ def scan_reports(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
+def report_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Schema of tables written by `write_reports`; report ids stay text whatever they look like."""
+    found = spark.read.option("mergeSchema", True).parquet(path).schema
+    return T.StructType(
+        [T.StructField(f.name, T.StringType()) if f.name == "report_id" else f for f in found.fields]
+    )
+
+
+def read_reports(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table written by `write_reports`."""
+    return spark.read.schema(schema or report_schema(spark, path)).parquet(path)
+
+
 def ready_reports(manifest: DataFrame, kind: str) -> DataFrame:
     """Reports of a kind that take part in queries."""
     return manifest.filter((F.col("kind") == kind) & (F.col("status") == "ready") & F.col("stored"))
