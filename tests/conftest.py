@@ -30,6 +30,17 @@ def spark(tmp_path_factory):
     return tune(session)
 
 
+def frame(spark, schema, *rows):
+    """A small DataFrame whose size Spark knows (a local relation)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(struct)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), struct)
+
+
 _TYPES = {
     str: T.StringType(), int: T.DoubleType(), float: T.DoubleType(),
     dt.datetime: T.TimestampNTZType(), bool: T.BooleanType(),
@@ -47,7 +58,7 @@ def make_sheet(spark, headers, rows, report_id="R1"):
     ]
     numbered = [(report_id, n, *r) for n, r in enumerate(fixed)]
     schema = T.StructType([T.StructField("report_id", T.StringType()), T.StructField("line_no", T.LongType()), *fields])
-    return sheets.clean_sheet(spark.createDataFrame(numbered, schema))
+    return sheets.clean_sheet(frame(spark, schema, *numbered))
 
 
 def convert_sheet(spark, headers, rows, kind="orders", report_id="R1"):
@@ -97,5 +108,5 @@ def d1_orders(spark):
 
 def eval_on(spark, values, build, kind="string"):
     """Values of `build(column)` for each input, in order."""
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    df = frame(spark, f"i int, v {kind}", *enumerate(values))
     return [r["out"] for r in df.select("i", build(F.col("v")).alias("out")).orderBy("i").collect()]

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BASE_HEADERS, BASE_ROWS, MONEY_HEADERS, by, convert_sheet, make_sheet
+from conftest import BASE_HEADERS, BASE_ROWS, MONEY_HEADERS, by, convert_sheet, frame, make_sheet
 from marketlens import schemas as S
 from marketlens.operators import convert, mapping
 from marketlens.sources import sheets
@@ -91,8 +91,8 @@ def test_override_is_used_for_conversion(spark):
     sheet = make_sheet(spark, BASE_HEADERS, BASE_ROWS)
     names = sheets.headers_of(sheet)
     given = {"order_ts": "Ngày đặt hàng", "product": "SKU phân loại hàng", "qty": "Số lượng", "price": "Giá gốc"}
-    override = spark.createDataFrame(
-        [("R1", f, h) for f, h in given.items()], "report_id string, field string, header string"
+    override = frame(
+        spark, "report_id string, field string, header string", *[("R1", f, h) for f, h in given.items()]
     )
     mapped = mapping.apply_override(mapping.map_orders(names), override)
     got = convert.convert_orders(sheet, names, mapped)

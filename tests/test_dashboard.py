@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BASE_HEADERS, by, convert_sheet
+from conftest import BASE_HEADERS, by, convert_sheet, frame
 from marketlens import schemas as S
 from marketlens.operators import filters as flt
 from marketlens.operators.enrich import Sources, enrich
@@ -12,10 +12,6 @@ from marketlens.plans.dashboard import Dashboard
 from marketlens.sources import reports, sheets
 
 
-def frame(spark, schema, *rows):
-    return spark.createDataFrame(list(rows), schema)
-
-
 @pytest.fixture(scope="module")
 def base(base_orders):
     return Dashboard(Sources(base_orders))
@@ -262,5 +258,9 @@ def test_export(base, tmp_path):
 
 def test_unneeded_joins_are_left_out(d1_orders, master, combo, cashflow):
     board = Dashboard(Sources(d1_orders, combo, cashflow, master))
-    plan = board.timeline()._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") == 1  # the combo parts
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    for name in ("order_aff_fee", "unit_cost"):
+        assert name not in plan(board.timeline()) and name in plan(board.kpis())

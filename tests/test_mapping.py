@@ -1,3 +1,4 @@
+from conftest import frame
 from marketlens import schemas as S
 from marketlens.operators import mapping
 
@@ -13,7 +14,7 @@ REAL_HEADERS = [
 
 def headers(spark, *lists):
     rows = [(f"R{n}", pos, h) for n, hs in enumerate(lists) for pos, h in enumerate(hs)]
-    return spark.createDataFrame(rows, "report_id string, header_pos int, header string")
+    return frame(spark, "report_id string, header_pos int, header string", *rows)
 
 
 def mapped(df, report_id="R0"):
@@ -66,8 +67,8 @@ def test_first_match(spark):
 
 def test_override_replaces_the_whole_mapping(spark):
     detected = mapping.map_orders(headers(spark, REAL_HEADERS, REAL_HEADERS))
-    override = spark.createDataFrame(
-        [("R0", "order_ts", "Ngày gửi hàng"), ("R0", "category", " ")], "report_id string, field string, header string"
+    override = frame(
+        spark, "report_id string, field string, header string", ("R0", "order_ts", "Ngày gửi hàng"), ("R0", "category", " ")
     )
     df = mapping.apply_override(detected, override)
     assert mapped(df) == {"order_ts": "Ngày gửi hàng"}

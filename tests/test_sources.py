@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import by
+from conftest import by, frame
 from marketlens.operators import convert, mapping
 from marketlens.sources import reports, sheets
 from marketlens.streaming.ingest import ingest_available
@@ -53,7 +53,7 @@ def test_line_numbers_follow_the_file(spark, tmp_path):
 
 
 def table(spark, *rows):
-    return spark.createDataFrame(list(rows), "report_id string, v int")
+    return frame(spark, "report_id string, v int", *rows)
 
 
 def test_sink_replaces_only_written_reports(spark, tmp_path):
@@ -86,9 +86,10 @@ def test_sheet_cleanup(spark):
 
 
 def sheet_rows(spark, report_id, start, n):
-    return spark.createDataFrame(
-        [(report_id, start + i, "O1", "2026-01-01", float(start + i + 1)) for i in range(n)],
+    return frame(
+        spark,
         "report_id string, line_no bigint, `Mã đơn hàng` string, `Ngày` string, `Số tiền người mua thanh toán` double",
+        *[(report_id, start + i, "O1", "2026-01-01", float(start + i + 1)) for i in range(n)],
     )
 
 
