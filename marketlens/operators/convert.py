@@ -24,65 +24,71 @@ SHEET_META = ["report_id", "line_no"]
 class MappedSheet:
     """A sheet whose reports may use different headers, read by field name.
 
-    The cells of a row become arrays once; each report's mapping is the array
-    position of every field, so a field is one array access whatever header it
-    came from.
+    Which headers serve a field is known once the mapping is (a handful of
+    pairs, at most fields x columns), so a field is a choice between those
+    columns only, and the scan reads no others.
     """
 
     def __init__(self, sheet: DataFrame, mapping: DataFrame, fields: list[str]):
-        headers = [c for c in sheet.columns if c not in SHEET_META]
         types = {f.name: f.dataType for f in sheet.schema.fields}
-        numeric = [h for h in headers if isinstance(types[h], T.NumericType)]
-        dated = [h for h in headers if isinstance(types[h], (T.DateType, T.TimestampType, T.TimestampNTZType))]
-
-        def cells(wanted, to_type):
-            return F.array(
-                *[F.col(f"`{h}`").cast(to_type) if h in wanted else F.lit(None).cast(to_type) for h in headers]
-            )
-
-        columns = [*SHEET_META, cells(headers, "string").alias("_text")]
-        if numeric:
-            columns.append(cells(numeric, "double").alias("_number"))
-        if dated:
-            columns.append(cells(dated, "timestamp_ntz").alias("_time"))
-        self._has_numbers, self._has_times = bool(numeric), bool(dated)
-
-        position = F.array_position(F.array(*[F.lit(h) for h in headers]), F.col("header"))
-        positions = (
-            mapping.withColumn("_at", F.when(position > 0, (position - 1).cast("int")))
-            .groupBy("report_id")
-            .agg(*[F.max(F.when(F.col("field") == f, F.col("_at"))).alias(f"_at_{f}") for f in fields])
+        pairs = mapping.select("field", "header").distinct().collect()
+        served = {f: sorted(h for field, h in pairs if field == f and h in types) for f in fields}
+        positions = mapping.groupBy("report_id").agg(
+            *[F.max(_position(f, served[f])).alias(f"_at_{f}") for f in fields]
         )
-        self.rows = lookup_join(sheet.select(*columns), positions, ["report_id"], "inner")
+        joined = lookup_join(sheet, positions, ["report_id"], "inner")
+        cells = []
+        for f in fields:
+            cells.append(_choice(f, served[f], "string").alias(f"_text_{f}"))
+            numeric = [h if isinstance(types[h], T.NumericType) else None for h in served[f]]
+            dated = [h if isinstance(types[h], _TEMPORAL) else None for h in served[f]]
+            cells.append(_choice(f, numeric, "double").alias(f"_number_{f}"))
+            cells.append(_choice(f, dated, "timestamp_ntz").alias(f"_time_{f}"))
+        self.rows = joined.select(*SHEET_META, *[f"_at_{f}" for f in fields], *cells)
 
     def mapped(self, field: str) -> Column:
         return F.col(f"_at_{field}").isNotNull()
 
     def raw(self, field: str) -> Column:
-        return F.coalesce(F.get("_text", F.col(f"_at_{field}")), F.lit(""))
+        return F.coalesce(F.col(f"_text_{field}"), F.lit(""))
 
     def text(self, field: str) -> Column:
         return text_or_empty(self.raw(field))
 
     def number(self, field: str) -> Column:
         """The number in a cell, 0 where there is none; NULL where the field is not mapped."""
-        value = text_to_number(self.raw(field))
-        if self._has_numbers:
-            cell = F.get("_number", F.col(f"_at_{field}"))
-            value = F.when(cell.isNotNull() & ~F.isnan(cell), cell).otherwise(value)
-        return F.when(self.mapped(field), value)
+        cell = F.nanvl(F.col(f"_number_{field}"), F.lit(None).cast("double"))
+        return F.when(self.mapped(field), F.coalesce(cell, text_to_number(self.raw(field))))
 
     def number_or_zero(self, field: str) -> Column:
         return F.coalesce(self.number(field), F.lit(0.0))
 
     def time(self, field: str) -> Column:
-        value = text_to_timestamp(self.raw(field))
-        if self._has_numbers:
-            cell = F.get("_number", F.col(f"_at_{field}"))
-            value = F.when(cell.isNotNull(), serial_to_timestamp(cell)).otherwise(value)
-        if self._has_times:
-            value = F.coalesce(F.get("_time", F.col(f"_at_{field}")), value)
-        return value
+        serial = F.col(f"_number_{field}")
+        from_cell = F.when(serial.isNotNull(), serial_to_timestamp(serial)).otherwise(
+            text_to_timestamp(self.raw(field))
+        )
+        return F.coalesce(F.col(f"_time_{field}"), from_cell)
+
+
+_TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _position(field: str, headers: list[str]) -> Column:
+    """Place of a mapping row's header among those that serve the field."""
+    place = F.lit(None).cast("int")
+    for n, h in enumerate(headers):
+        place = F.when((F.col("field") == field) & (F.col("header") == h), n).otherwise(place)
+    return place
+
+
+def _choice(field: str, headers: list[str | None], to_type: str) -> Column:
+    """The cell of the header a report uses for the field, NULL where that is none of `headers`."""
+    value = F.lit(None).cast(to_type)
+    for n, h in enumerate(headers):
+        if h is not None:
+            value = F.when(F.col(f"_at_{field}") == n, F.col(f"`{h}`").cast(to_type)).otherwise(value)
+    return value
 
 
 # ---------------------------------------------------------------------------
