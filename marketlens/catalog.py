@@ -32,16 +32,16 @@ ROUNDING_SHIFT = 0.00137
 def present(df: DataFrame) -> DataFrame:
     """Comparable output: amounts to two digits, timestamps as text."""
     def shown(field):
-        c = F.col(f"`{field.name}`")
+        c = f"`{field.name}`"
         if isinstance(field.dataType, T.DoubleType):
-            c = F.round(c + ROUNDING_SHIFT, 2) + 0.0
-        elif isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        elif isinstance(field.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        return c.alias(field.name)
-
-    return df.select(*[shown(f) for f in df.schema.fields])
+            return f"round({c} + {ROUNDING_SHIFT}D, 2) + 0D AS {c}"
+        if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
+            return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss') AS {c}"
+        if isinstance(field.dataType, T.DateType):
+            return f"date_format({c}, 'yyyy-MM-dd') AS {c}"
+        return c
+
+    return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
 
 def query(build: Callable[[A.Star], DataFrame]) -> Callable[[A.Star], DataFrame]:

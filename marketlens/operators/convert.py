@@ -33,62 +33,74 @@ class MappedSheet:
         types = {f.name: f.dataType for f in sheet.schema.fields}
         pairs = mapping.select("field", "header").distinct().collect()
         served = {f: sorted(h for field, h in pairs if field == f and h in types) for f in fields}
-        positions = mapping.groupBy("report_id").agg(
-            *[F.max(_position(f, served[f])).alias(f"_at_{f}") for f in fields]
-        )
-        joined = lookup_join(sheet, positions, ["report_id"], "inner")
+        joined = lookup_join(sheet, _positions(mapping, served), ["report_id"], "inner")
         cells = []
-        for f in fields:
-            cells.append(_choice(f, served[f], "string").alias(f"_text_{f}"))
-            numeric = [h if isinstance(types[h], T.NumericType) else None for h in served[f]]
-            dated = [h if isinstance(types[h], _TEMPORAL) else None for h in served[f]]
-            cells.append(_choice(f, numeric, "double").alias(f"_number_{f}"))
-            cells.append(_choice(f, dated, "timestamp_ntz").alias(f"_time_{f}"))
-        self.rows = joined.select(*SHEET_META, *[f"_at_{f}" for f in fields], *cells)
+        for f, headers in served.items():
+            numeric = [isinstance(types[h], T.NumericType) for h in headers]
+            dated = [isinstance(types[h], _TEMPORAL) for h in headers]
+            cells.append(_choice(f, headers, [True] * len(headers), "string", "text"))
+            cells.append(_choice(f, headers, numeric, "double", "number"))
+            cells.append(_choice(f, headers, dated, "timestamp_ntz", "time"))
+        self._cells = {c.split(" AS ")[-1] for c in cells if c}
+        self.rows = joined.selectExpr(*SHEET_META, *[f"_at_{f}" for f in fields], *[c for c in cells if c])
+
+    def _cell(self, kind: str, field: str) -> Column | None:
+        name = f"_{kind}_{field}"
+        return F.col(name) if name in self._cells else None
 
     def mapped(self, field: str) -> Column:
         return F.col(f"_at_{field}").isNotNull()
 
     def raw(self, field: str) -> Column:
-        return F.coalesce(F.col(f"_text_{field}"), F.lit(""))
+        cell = self._cell("text", field)
+        return F.lit("") if cell is None else F.coalesce(cell, F.lit(""))
 
     def text(self, field: str) -> Column:
         return text_or_empty(self.raw(field))
 
     def number(self, field: str) -> Column:
         """The number in a cell, 0 where there is none; NULL where the field is not mapped."""
-        cell = F.nanvl(F.col(f"_number_{field}"), F.lit(None).cast("double"))
-        return F.when(self.mapped(field), F.coalesce(cell, text_to_number(self.raw(field))))
+        value = text_to_number(self.raw(field))
+        cell = self._cell("number", field)
+        if cell is not None:
+            value = F.coalesce(F.nanvl(cell, F.lit(None).cast("double")), value)
+        return F.when(self.mapped(field), value)
 
     def number_or_zero(self, field: str) -> Column:
         return F.coalesce(self.number(field), F.lit(0.0))
 
     def time(self, field: str) -> Column:
-        serial = F.col(f"_number_{field}")
-        from_cell = F.when(serial.isNotNull(), serial_to_timestamp(serial)).otherwise(
-            text_to_timestamp(self.raw(field))
-        )
-        return F.coalesce(F.col(f"_time_{field}"), from_cell)
+        value = text_to_timestamp(self.raw(field))
+        serial, time = self._cell("number", field), self._cell("time", field)
+        if serial is not None:
+            value = F.when(serial.isNotNull(), serial_to_timestamp(serial)).otherwise(value)
+        return value if time is None else F.coalesce(time, value)
 
 
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def _position(field: str, headers: list[str]) -> Column:
-    """Place of a mapping row's header among those that serve the field."""
-    place = F.lit(None).cast("int")
-    for n, h in enumerate(headers):
-        place = F.when((F.col("field") == field) & (F.col("header") == h), n).otherwise(place)
-    return place
-
-
-def _choice(field: str, headers: list[str | None], to_type: str) -> Column:
-    """The cell of the header a report uses for the field, NULL where that is none of `headers`."""
-    value = F.lit(None).cast(to_type)
-    for n, h in enumerate(headers):
-        if h is not None:
-            value = F.when(F.col(f"_at_{field}") == n, F.col(f"`{h}`").cast(to_type)).otherwise(value)
-    return value
+_SEPARATOR = "\x1f"
+
+
+def _positions(mapping: DataFrame, served: dict[str, list[str]]) -> DataFrame:
+    """One row per report: for every field, which of the headers serving it the report uses."""
+    places = [(f + _SEPARATOR + h, n) for f, headers in served.items() for n, h in enumerate(headers)]
+    if places:
+        known = F.create_map(*[F.lit(x) for pair in places for x in pair])
+        place = F.try_element_at(known, F.concat("field", F.lit(_SEPARATOR), "header"))
+    else:
+        place = F.lit(None).cast("int")
+    chosen = [F.expr(f"max(CASE WHEN field = '{f}' THEN place END) AS _at_{f}") for f in served]
+    return mapping.select("report_id", "field", place.alias("place")).groupBy("report_id").agg(*chosen)
+
+
+def _choice(field: str, headers: list[str], usable: list[bool], to_type: str, kind: str) -> str | None:
+    """The cell of the header a report uses for the field; None where no header of this kind serves it."""
+    branches = [
+        f"WHEN _at_{field} = {n} THEN CAST(`{h.replace('`', '``')}` AS {to_type})"
+        for n, h in enumerate(headers)
+        if usable[n]
+    ]
+    return f"CASE {' '.join(branches)} END AS _{kind}_{field}" if branches else None
 
 
 # ---------------------------------------------------------------------------

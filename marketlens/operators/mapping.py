@@ -6,7 +6,7 @@ table `report_id, field, header`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import schemas as S
@@ -20,30 +20,26 @@ def header_listing(headers: DataFrame, report_id: str | None = None) -> DataFram
     return headers.select("report_id", "header_pos", "header").orderBy("report_id", "header_pos")
 
 
-def _keyword_score(norm: Column, words: list[str]) -> Column:
-    """Best score of one header for one field; 0 where no keyword occurs in it."""
+def _keyword_score(words: list[str]) -> str:
+    """Best score of a normalised header `norm` over the keywords of one field; 0 where none occurs in it."""
     scores = [
-        F.when(norm == word, S.EXACT_MATCH_BONUS + len(word))
-        .when(norm.contains(word), len(word))
-        .otherwise(F.lit(0))
-        for word in words
+        f"CASE WHEN norm = '{w}' THEN {S.EXACT_MATCH_BONUS + len(w)} WHEN contains(norm, '{w}') THEN {len(w)} ELSE 0 END"
+        for w in words
     ]
-    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return f"greatest({', '.join(scores)})" if len(scores) > 1 else scores[0]
 
 
 def _candidates(headers: DataFrame, keywords: dict[str, list[str]], penalised: list[str]) -> DataFrame:
     """One row per header and field the header could serve, with its score."""
-    norm = F.col("norm")
-    looks_like_id = norm.rlike(S.IDENTIFIER_PREFIX)
     options = []
     for field, words in keywords.items():
-        score = _keyword_score(norm, words)
-        if field in penalised:
-            score = score - F.when(looks_like_id, S.IDENTIFIER_PENALTY).otherwise(F.lit(0))
-        options.append(F.struct(F.lit(field).alias("field"), score.alias("score")))
+        penalty = " - penalty" if field in penalised else ""
+        options.append(f"struct('{field}' AS field, {_keyword_score(words)}{penalty} AS score)")
+    looks_like_id = F.col("norm").rlike(S.IDENTIFIER_PREFIX)
     return (
         headers.withColumn("norm", normalize_header(F.col("header")))
-        .select("report_id", "header_pos", "header", F.inline(F.array(*options)))
+        .withColumn("penalty", F.when(looks_like_id, S.IDENTIFIER_PENALTY).otherwise(F.lit(0)))
+        .selectExpr("report_id", "header_pos", "header", f"inline(array({', '.join(options)}))")
         .filter(F.col("score") > 0)
     )
 
