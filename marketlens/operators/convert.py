@@ -15,8 +15,8 @@ from marketlens.functions import money
 from marketlens.functions.dates import serial_to_timestamp, text_to_timestamp
 from marketlens.functions.numbers import ratio_or_zero, text_to_number
 from marketlens.functions.text import fold_accents, text_or_default, text_or_empty
+from marketlens.operators import skew
 from marketlens.operators.mapping import mapping_errors
-from marketlens.operators.skew import HOT_ROWS, lookup_join
 
 SHEET_META = ["report_id", "line_no"]
 
@@ -33,7 +33,7 @@ class MappedSheet:
         types = {f.name: f.dataType for f in sheet.schema.fields}
         pairs = mapping.select("field", "header").distinct().collect()
         served = {f: sorted(h for field, h in pairs if field == f and h in types) for f in fields}
-        joined = lookup_join(sheet, _positions(mapping, served), ["report_id"], "inner")
+        joined = skew.lookup_join(sheet, _positions(mapping, served), ["report_id"], "inner")
         cells = []
         for f, headers in served.items():
             numeric = [isinstance(types[h], T.NumericType) for h in headers]
@@ -159,8 +159,11 @@ def with_order_facts(
 ) -> DataFrame:
     """Lines with `paid_ratio` and/or the flat `ship_fee` of their order."""
     facts = order_facts(lines if key_lines is None else key_lines, paid, first)
-    hot = facts.filter(F.col("order_lines") > HOT_ROWS).select(*ORDER_KEY)
-    joined = lookup_join(lines, facts.drop("order_lines"), ORDER_KEY, "inner", hot=hot)
+
+    def hot():
+        return facts.filter(F.col("order_lines") > skew.HOT_ROWS).select(*ORDER_KEY)
+
+    joined = skew.lookup_join(lines, facts.drop("order_lines"), ORDER_KEY, "inner", hot)
     if paid:
         ratio = ratio_or_zero(F.coalesce("buyer_paid", F.lit(0.0)), F.col("order_paid"))
         joined = joined.withColumn("paid_ratio", ratio)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlens import schemas as S
 from marketlens.functions import money
 from marketlens.functions.text import parent_sku
-from marketlens.operators.skew import lookup_join
+from marketlens.operators.skew import hot_keys, lookup_join
 
 _AFF = {"order_id", "paid_ratio"}
 _GMV = {"line_state", "list_price", "net_qty"}
@@ -104,22 +104,26 @@ def fee_per_order(cashflow: DataFrame) -> DataFrame:
     return cashflow.groupBy("order_id").agg(F.sum("aff_fee").alias("order_aff_fee"))
 
 
-def join_aff_fee(lines: DataFrame, cashflow: DataFrame | None) -> DataFrame:
-    """The line's share of its order's affiliate fee, before combo scaling."""
+def join_aff_fee(lines: DataFrame, cashflow: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
+    """The line's share of its order's affiliate fee, before combo scaling.
+
+    Here and below `keys` may give the lines as they were stored, from which
+    hot keys are found without repeating the joins before.
+    """
     if cashflow is None:
         return lines.withColumn("line_aff_fee", F.lit(0.0))
     share = or_zero(lines, "paid_ratio")
-    joined = lookup_join(lines, fee_per_order(cashflow), ["order_id"])
+    joined = lookup_join(lines, fee_per_order(cashflow), ["order_id"], hot=_hot(lines, keys, "order_id"))
     return joined.withColumn("line_aff_fee", share * F.coalesce("order_aff_fee", F.lit(0.0))).drop("order_aff_fee")
 
 
-def explode_combo(lines: DataFrame, combo: DataFrame | None) -> DataFrame:
+def explode_combo(lines: DataFrame, combo: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
     """Replace a combo line by its parts; other lines stay as they are with ratio 1 and no slot."""
     if combo is None:
         return lines.withColumn("ratio", F.lit(1.0)).withColumn("slot", F.lit(None).cast("int"))
     parts = combo.select(F.col("combo_sku").alias("sku_variant"), "sub_sku", "ratio", "slot")
     return (
-        lookup_join(lines, parts, ["sku_variant"])
+        lookup_join(lines, parts, ["sku_variant"], hot=_hot(lines, keys, "sku_variant"))
         .withColumn("sku_variant", F.coalesce("sub_sku", "sku_variant"))
         .withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
         .drop("sub_sku")
@@ -131,17 +135,23 @@ def one_per_sku(master: DataFrame, values: list[str] | None = None) -> DataFrame
     return master.groupBy("sku").agg(*[F.min(v).alias(v) for v in values or _MASTER_VALUES])
 
 
-def join_master(lines: DataFrame, master: DataFrame | None, values: list[str] | None = None) -> DataFrame:
+def join_master(
+    lines: DataFrame, master: DataFrame | None, values: list[str] | None = None, keys: DataFrame | None = None
+) -> DataFrame:
     """Labels and unit cost by parent SKU of the exploded variant; '' and 0 where there is none."""
     values = values or _MASTER_VALUES
     blank = {v: F.lit(0.0) if v == "unit_cost" else F.lit("") for v in values}
     lines = lines.withColumn("sku", parent_sku(F.col("sku_variant")))
     if master is None:
         return lines.withColumns(blank)
-    joined = lookup_join(lines, one_per_sku(master, values), ["sku"])
+    joined = lookup_join(lines, one_per_sku(master, values), ["sku"], hot=_hot(lines, keys, "sku"))
     return joined.withColumns({v: F.coalesce(F.col(v), blank[v]) for v in values})
 
 
+def _hot(lines: DataFrame, keys: DataFrame | None, column: str):
+    return lambda: hot_keys(lines if keys is None else keys, [column])
+
+
 def enriched_values(lines: DataFrame) -> dict[str, Column]:
     """Output expressions over exploded and joined lines."""
     c = F.col
@@ -193,14 +203,17 @@ def enrich(
     wanted = set(columns)
     dated = date_from is not None or date_to is not None
     base = order_columns([*columns, "order_ts"] if dated else columns, sources)
-    lines = date_range(sources.order_lines(base), date_from, date_to)
+    stored = date_range(sources.order_lines(base), date_from, date_to)
+    lines = stored
     if "sales_channel" in wanted:
         lines = tag_channels(lines, sources.channels)
     if wanted & _FROM_FEES:
-        lines = join_aff_fee(lines, sources.cashflow)
-    lines = explode_combo(lines, sources.combo)
+        lines = join_aff_fee(lines, sources.cashflow, stored)
+    lines = explode_combo(lines, sources.combo, stored)
     if wanted & _FROM_MASTER:
         values = [v for v in _MASTER_VALUES if v in wanted or v == "unit_cost" and wanted & {"cost", "gross_profit"}]
-        lines = join_master(lines, sources.master, values)
+        parts = explode_combo(stored, sources.combo)
+        skus = parts.select(parent_sku(F.col("sku_variant")).alias("sku"))
+        lines = join_master(lines, sources.master, values, skus)
     values = enriched_values(lines)
     return lines.select(*[values.get(c, F.col(c)).alias(c) for c in columns])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only when Spark estimates it below this many bytes.
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 # A key with more rows than this is spread over SPREAD partitions. At most
 # rows / HOT_ROWS keys can pass the mark, which bounds the broadcast key list.
 HOT_ROWS = 1_000_000
@@ -33,21 +35,20 @@ def lookup_join(
     right: DataFrame,
     on: list[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Join `right` to the (usually much larger) `left` on equal keys.
 
     A right side of checked small size is broadcast and nothing is shuffled.
     Otherwise both sides are shuffled on the key; rows of hot keys get a salt
     computed from the row itself, so a re-run task puts them in the same place,
-    and the matching right rows are repeated once per salt. `hot` can be given
-    when the caller has the counts already.
+    and the matching right rows are repeated once per salt. `hot` may name a
+    cheaper way to the hot keys than counting the rows of `left`.
     """
     if small(right):
         return left.join(F.broadcast(right), on, how)
-    if hot is None:
-        hot = hot_keys(left, on)
-    flagged = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    keys = hot_keys(left, on) if hot is None else hot()
+    flagged = F.broadcast(keys.select(*on, F.lit(True).alias("_hot")))
     missing_key = F.lit(False)
     for name in on:
         missing_key = missing_key | F.col(name).isNull()

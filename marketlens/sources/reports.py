@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketlens.operators.skew import lookup_join
+
 
 def scan_reports(spark: SparkSession, *paths: str) -> DataFrame:
     """Stored reports of different age together: columns by name, missing ones NULL."""
@@ -35,12 +37,12 @@ def ready_reports(manifest: DataFrame, kind: str) -> DataFrame:
 
 
 def keep_ready(table: DataFrame, manifest: DataFrame, kind: str) -> DataFrame:
-    return table.join(ready_reports(manifest, kind).select("report_id"), "report_id", "left_semi")
+    return lookup_join(table, ready_reports(manifest, kind).select("report_id"), ["report_id"], "left_semi")
 
 
 def remove_reports(table: DataFrame, removed: DataFrame) -> DataFrame:
     """The table without the removed reports."""
-    return table.join(removed.select("report_id"), "report_id", "left_anti")
+    return lookup_join(table, removed.select("report_id"), ["report_id"], "left_anti")
 
 
 def report_channels(manifest: DataFrame, channels: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import frame
+from marketlens import schemas as S
 from marketlens.operators import paging, skew
 from marketlens.operators.convert import with_order_facts
+from marketlens.operators.enrich import Sources, enrich
 
 
 @pytest.fixture
@@ -20,7 +23,7 @@ def skewed(spark, n=3000):
     return spark.range(n).select("id", key.otherwise((F.col("id") % 40).cast("string")).alias("k"))
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, tiny_limits, how):
     left = skewed(spark)
     right = spark.range(30).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).unionByName(
@@ -41,6 +44,26 @@ def test_hot_keys_are_spread(spark, tiny_limits):
     assert salts == 8
 
 
+def test_enrichment_without_broadcast(spark, tiny_limits):
+    orders = skewed(spark, 600).select(
+        F.lit("R1").alias("report_id"), F.col("id").alias("line_no"), F.coalesce("k", F.lit("")).alias("order_id"),
+        F.concat(F.lit("P"), F.col("id") % 7, F.lit("-1")).alias("sku_variant"), F.lit(1.0).alias("net_qty"),
+        F.lit(10.0).alias("list_price"), F.lit(S.STATE_COMPLETED).alias("line_state"), F.lit(0.5).alias("paid_ratio"),
+    )
+    combo = frame(spark, "combo_sku string, sub_sku string, ratio double, slot int", ("P1-1", "Q1-1", 1.0, 1), ("P1-1", "Q2-1", 0.0, 2))
+    cashflow = frame(spark, "order_id string, aff_fee double", ("hot", 4.0), ("3", 2.0), ("3", 2.0))
+    master = frame(
+        spark, "sku string, item_group string, product_type string, warehouse_type string, unit_cost double",
+        ("P0", "a", "b", "c", 3.0), ("Q2", "a", "b", "c", 5.0),
+    )
+    sources = Sources(orders, combo, cashflow, master)
+    columns = ["line_no", "slot", "sku", "aff_fee", "cost", "warehouse_type", "gmv"]
+    salted = sorted(map(str, enrich(sources, columns).collect()))
+    skew.BROADCAST_MAX_BYTES = 1 << 62
+    assert salted == sorted(map(str, enrich(sources, columns).collect()))
+    assert len(salted) == 600 + 86
+
+
 def test_small_side_is_broadcast(spark):
     right = spark.range(5).select(F.col("id").cast("string").alias("k"))
     plan = skew.lookup_join(skewed(spark), right, ["k"])._jdf.queryExecution().executedPlan().toString()
