@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marketlens import schemas as S
 from marketlens.operators.convert import ORDER_FACT_INPUTS, derive_orders
 from marketlens.operators.enrich import Sources
+from marketlens.session import use_all_cores
 from marketlens.sources.reports import read_reports, report_channels, write_reports
 from marketlens.sources.sheets import headers_of
 
@@ -38,26 +39,29 @@ class Star:
 
     # -- order lines --------------------------------------------------------
 
-    def joined(self, columns: list[str]) -> DataFrame:
+    def joined(self, columns: list[str], spread: bool = False) -> DataFrame:
         """Lines with the order, and with customer and part where a column needs them."""
-        lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = self.table("lineitem")
+        if spread:
+            lines = use_all_cores(lines, "l_orderkey", "l_partkey")
+        lines = lines.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         if "customer" in columns:
             lines = lines.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
         if {"product", "category"} & set(columns):
             lines = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
         return lines
 
-    def typed_lines(self, columns: list[str] | None = None) -> DataFrame:
+    def typed_lines(self, columns: list[str] | None = None, spread: bool = False) -> DataFrame:
         """Every order line with typed fields, undated ones too."""
         values = line_values()
         columns = columns or list(values)
-        return self.joined(columns).select(*[values[c].alias(c) for c in columns])
+        return self.joined(columns, spread).select(*[values[c].alias(c) for c in columns])
 
-    def orders(self, columns: list[str] | None = None) -> DataFrame:
+    def orders(self, columns: list[str] | None = None, spread: bool = False) -> DataFrame:
         """Stored order table (converted lines) with the asked columns."""
         columns = columns or S.ORDERS_SCHEMA.names
         key_lines = self.typed_lines(ORDER_FACT_INPUTS)
-        return derive_orders(self.typed_lines(typed_columns(columns)), columns, key_lines)
+        return derive_orders(self.typed_lines(typed_columns(columns), spread), columns, key_lines)
 
     # -- side inputs ----------------------------------------------------------
 
@@ -141,7 +145,7 @@ class Star:
 
     def store(self, root: str) -> None:
         """Write the converted tables below `root`, as an upload of all reports would."""
-        write_reports(self.orders(), f"{root}/orders")
+        write_reports(self.orders(spread=True), f"{root}/orders")
         for kind in ("combo", "cashflow", "master"):
             getattr(self, kind)().write.parquet(f"{root}/{kind}")
 
@@ -164,7 +168,7 @@ class Star:
         for header in dict.fromkeys(h for layout in ORDER_LAYOUTS.values() for h in layout):
             years = [y for y, layout in ORDER_LAYOUTS.items() if header in layout]
             cells[header] = F.when(year.isin(years), values[header])
-        return self.joined(["customer", "product"]).select(
+        return self.joined(["customer", "product"], spread=True).select(
             F.concat(F.lit("R"), year).alias("report_id"),
             line_no().alias("line_no"),
             *[c.alias(h) for h, c in cells.items()],

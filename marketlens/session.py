@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only; they change plans, never results.
 SETTINGS = {
@@ -19,3 +19,12 @@ def tune(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
+
+
+def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input of fewer splits than cores before heavy row work.
+
+    Large inputs have far more splits and are left as they are, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
