@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import packing, token_counts, token_orc
+from marketlens.llm import near_dedup, packing, token_counts, token_orc
 from marketlens.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,8 @@ def op5_token_counts(spark, folder):
 @query
 def op6_packing(spark, folder):
     return packing.packed(documents(spark, folder))
+
+
+@query
+def op8_near_dedup(spark, folder):
+    return near_dedup.near_duplicates(documents(spark, folder))
