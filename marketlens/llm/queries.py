@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import near_dedup, packing, token_counts, token_orc
+from marketlens.llm import near_dedup, packing, suffix_dedup, token_counts, token_orc
 from marketlens.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op6_packing(spark, folder):
 @query
 def op8_near_dedup(spark, folder):
     return near_dedup.near_duplicates(documents(spark, folder))
+
+
+@query
+def op1_suffix_dedup(spark, folder):
+    return suffix_dedup.digests(documents(spark, folder))
