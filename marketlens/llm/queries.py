@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import near_dedup, packing, suffix_dedup, token_counts, token_orc
+from marketlens.llm import kneser_ney, near_dedup, packing, suffix_dedup, token_counts, token_orc
 from marketlens.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op8_near_dedup(spark, folder):
 @query
 def op1_suffix_dedup(spark, folder):
     return suffix_dedup.digests(documents(spark, folder))
+
+
+@query
+def op4_lm_scores(spark, folder):
+    return kneser_ney.held_out_scores(documents(spark, folder))
