@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import kneser_ney, near_dedup, packing, suffix_dedup, token_counts, token_orc
+from marketlens.llm import co_training, kneser_ney, near_dedup, packing, suffix_dedup, token_counts, token_orc
 from marketlens.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,13 @@ def op1_suffix_dedup(spark, folder):
 @query
 def op4_lm_scores(spark, folder):
     return kneser_ney.held_out_scores(documents(spark, folder))
+
+
+def labels(spark, folder):
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+@query
+def op7_quality_classifier(spark, folder):
+    docs = documents(spark, folder)
+    return co_training.scores(docs, co_training.train(docs, labels(spark, folder)))
