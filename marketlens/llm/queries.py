@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import co_training, kneser_ney, near_dedup, packing, suffix_dedup, token_counts, token_orc
+from marketlens.llm import co_training, decontamination, kneser_ney, near_dedup, packing, suffix_dedup, token_counts, token_orc
 from marketlens.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,12 @@ def labels(spark, folder):
 def op7_quality_classifier(spark, folder):
     docs = documents(spark, folder)
     return co_training.scores(docs, co_training.train(docs, labels(spark, folder)))
+
+
+def benchmark(spark, folder):
+    return spark.read.parquet(f"{folder}/benchmark.parquet")
+
+
+@query
+def op9_decontamination(spark, folder):
+    return decontamination.contaminated(documents(spark, folder), benchmark(spark, folder))
