@@ -1,18 +1,50 @@
-"""Cleaning a corpus: five stages over `documents`, each written and read again before the next."""
+"""Cleaning a corpus: five stages over `documents`, each written and read again before the next.
+
+Every stage works on all that its predecessor kept; all but the last return the
+columns of `documents`, the last one the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import packing
+from marketlens.llm import co_training, decontamination, near_dedup, packing, pii
 from marketlens.llm.common import documents, stored
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that co-training on the labels accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return co_training.accepted(docs, co_training.train(docs, labels))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.deduplicated(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark question."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced in their texts."""
+    return pii.cleaned(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences."""
     return packing.packed(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", pii_surrogates),
+    ("best-fit packing", best_fit_packing),
+]
 
 # The stages learn, tokenise and replace by rules that SQL cannot state; tests hold them against brute force.
 ORACLE_SQL = None

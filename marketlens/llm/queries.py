@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import co_training, decontamination, kneser_ney, near_dedup, packing, quality_rules, suffix_dedup, token_counts, token_orc
+from marketlens.llm import co_training, decontamination, kneser_ney, near_dedup, packing, pii, quality_rules, suffix_dedup, token_counts, token_orc
 from marketlens.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op9_decontamination(spark, folder):
 @query
 def op3_quality_rules(spark, folder):
     return quality_rules.judged(documents(spark, folder), labels(spark, folder))
+
+
+@query
+def op10_pii(spark, folder):
+    return pii.replaced(documents(spark, folder))
