@@ -257,7 +257,8 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     """Byte ranges (key, low, high) to remove, overlapping or not; rows: (key, text)."""
     all_runs = stored(occurrences(rows), "runs")
     several = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("least"), F.max("span").alias("most"))
-    several = several.filter("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed"))
+    # Written first: joined to a table, not to its own grouping, a frequent anchor's rows can be split over tasks.
+    several = stored(several.filter("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "several")
     shared = stored(all_runs.join(several, "anchor"), "shared")
 
     kinds = shared.filter("mixed").groupBy("anchor", "span", "windows", "offset").agg(
