@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import slices
 from marketlens.llm.shingles import CACHED_WORDS, lower_words
 
-LABELLED = 20_000
-POOL = 4_000
+LABELLED = 12_000
+POOL = 3_000
 ROUNDS = 3
 SURE = 0.97
 PSEUDO_WEIGHT = 0.5
