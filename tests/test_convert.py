@@ -12,14 +12,16 @@ from marketlens.sources import sheets
 def test_six_states(base_orders):
     rows = by(base_orders, "order_id")
     assert {k: r["line_state"] for k, r in rows.items()} == {
-        "O1": S.STATE_CANCELLED_AFTER, "O2": S.STATE_CANCELLED_BEFORE, "O3": S.STATE_RETURNED,
-        "O4": S.STATE_PARTLY_RETURNED, "O5": S.STATE_COMPLETED, "O6": S.STATE_DELIVERING,
+        "K11": S.STATE_CANCELLED_AFTER, "K12": S.STATE_CANCELLED_BEFORE, "K13": S.STATE_RETURNED,
+        "K14": S.STATE_PARTLY_RETURNED, "K15": S.STATE_COMPLETED, "K16": S.STATE_DELIVERING,
+    }
+    assert {k: r["gross_sales"] for k, r in rows.items()} == {
+        "K11": 180000, "K12": 140000, "K13": 75000, "K14": 216000, "K15": 310000, "K16": 190000,
     }
-    assert sum(r["gross_sales"] for r in rows.values()) == 940000
     assert all(r["ship_fee"] == 1620 and r["discount"] == r["voucher"] == r["paid_ratio"] == 0 for r in rows.values())
-    assert rows["O1"]["order_ts"] == dt.datetime(2026, 2, 1)
-    assert rows["O1"]["customer"] == S.UNKNOWN
-    assert rows["O4"]["net_qty"] == 3 and rows["O4"]["revenue"] == 5
+    assert rows["K11"]["order_ts"] == dt.datetime(2026, 3, 11)
+    assert rows["K11"]["customer"] == S.UNKNOWN
+    assert rows["K14"]["net_qty"] == 5 and rows["K14"]["revenue"] == 12
     assert base_orders.columns == S.ORDERS_SCHEMA.names
 
 
@@ -96,7 +98,7 @@ def test_override_is_used_for_conversion(spark):
     )
     mapped = mapping.apply_override(mapping.map_orders(names), override)
     got = convert.convert_orders(sheet, names, mapped)
-    assert got.count() == 6 and got.orderBy("line_no").first().product == "A100-1"
+    assert got.count() == 6 and got.orderBy("line_no").first().product == "NL07-2"
 
 
 def test_reports_that_cannot_be_converted(spark):
@@ -116,14 +118,14 @@ def test_reports_that_cannot_be_converted(spark):
 def test_combo(spark):
     headers = ["PHÂN LOẠI", "Tỉ lệ SKU 1", "Tỉ lệ SKU 2", "Tỉ lệ SKU 3", "SKU1", "SKU2", "SKU3", "SKU COMBO"]
     rows = [
-        ["x", 0.4, 0.6, None, "A100-1", "B200-1", "", "COMBO-AQ"],
-        ["y", 0.2, 0.3, 0.5, "C300-1", "D400-1", "E500-1", "COMBO-3"],
-        ["z", 0.2, 0.3, 0.5, "C300-1", "D400-1", "E500-1", " "],
+        ["bộ", 0.35, 0.65, None, "GH52-1", "TR18-4", "", "BO-NHA"],
+        ["túi", 0.1, 0.15, 0.75, "VI09-1", "NL07-2", "DQ44-2", "BO-DI"],
+        ["không tên", 0.1, 0.15, 0.75, "VI09-1", "NL07-2", "DQ44-2", " "],
     ]
     got = convert_sheet(spark, headers, rows, "combo").orderBy("combo_sku", "slot").collect()
     assert [(r.combo_sku, r.sub_sku, r.ratio, r.slot) for r in got] == [
-        ("COMBO-3", "C300-1", 0.2, 1), ("COMBO-3", "D400-1", 0.3, 2), ("COMBO-3", "E500-1", 0.5, 3),
-        ("COMBO-AQ", "A100-1", 0.4, 1), ("COMBO-AQ", "B200-1", 0.6, 2),
+        ("BO-DI", "VI09-1", 0.1, 1), ("BO-DI", "NL07-2", 0.15, 2), ("BO-DI", "DQ44-2", 0.75, 3),
+        ("BO-NHA", "GH52-1", 0.35, 1), ("BO-NHA", "TR18-4", 0.65, 2),
     ]
     no_ratio = convert_sheet(spark, ["SKU COMBO", "SKU1"], [["K", "A-1"]], "combo").first()
     assert no_ratio.ratio == 0
@@ -131,8 +133,8 @@ def test_combo(spark):
 
 def test_cashflow_and_master(spark):
     headers = ["Mã giao dịch", "Mã đơn hàng", "Phí hoa hồng Tiếp thị liên kết", "Ghi chú"]
-    fees = by(convert_sheet(spark, headers, [["T1", "O1", -5000, ""], ["T2", " ", -1, ""]], "cashflow"), "order_id")
-    assert {k: r["aff_fee"] for k, r in fees.items()} == {"O1": 5000}
+    fees = by(convert_sheet(spark, headers, [["G81", "P5", -7300, ""], ["G82", " ", -1, ""]], "cashflow"), "order_id")
+    assert {k: r["aff_fee"] for k, r in fees.items()} == {"P5": 7300}
     master = convert_sheet(spark, ["SKU phân loại", "SKU", "Giá vốn"], [["A-1", " A ", 10.5], ["B-1", "", 1.0]], "master")
     assert [(r.sku, r.item_group, r.unit_cost) for r in master.collect()] == [("A", "", 10.5)]
 
