@@ -677,11 +677,6 @@ def grouped_tree_rollup(star):
     return dashboard(star).group_tree(["category", "status", "product"])
 
 
-@query
-def grouped_invalid_key(star):
-    return dashboard(star).grouped("no_such_key")
-
-
 # ---------------------------------------------------------------------------
 # Sort, paging, export
 # ---------------------------------------------------------------------------

@@ -21,6 +21,9 @@ from marketlens.operators.mapping import mapping_errors
 SHEET_META = ["report_id", "line_no"]
 
 
+_FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
+
+
 class MappedSheet:
     """A sheet whose reports may use different headers, read by field name.
 
@@ -38,7 +41,7 @@ class MappedSheet:
         for f, headers in served.items():
             numeric = [isinstance(types[h], T.NumericType) for h in headers]
             dated = [isinstance(types[h], _TEMPORAL) for h in headers]
-            cells.append(_choice(f, headers, [True] * len(headers), "string", "text"))
+            cells.append(_text_choice(f, headers, [isinstance(types[h], _FRACTIONAL) for h in headers]))
             cells.append(_choice(f, headers, numeric, "double", "number"))
             cells.append(_choice(f, headers, dated, "timestamp_ntz", "time"))
         self._cells = {c.split(" AS ")[-1] for c in cells if c}
@@ -103,6 +106,19 @@ def _choice(field: str, headers: list[str], usable: list[bool], to_type: str, ki
     return f"CASE {' '.join(branches)} END AS _{kind}_{field}" if branches else None
 
 
+def _text_choice(field: str, headers: list[str], fractional: list[bool]) -> str | None:
+    """The same as text; whole numbers of fractional columns, such as ids, as plain digits."""
+    branches = []
+    for n, h in enumerate(headers):
+        cell = f"`{h.replace('`', '``')}`"
+        text = f"CAST({cell} AS string)"
+        if fractional[n]:
+            whole = f"{cell} = floor({cell}) AND abs({cell}) < 1e18D"
+            text = f"CASE WHEN {whole} THEN CAST(CAST({cell} AS bigint) AS string) ELSE {text} END"
+        branches.append(f"WHEN _at_{field} = {n} THEN {text}")
+    return f"CASE {' '.join(branches)} END AS _text_{field}" if branches else None
+
+
 # ---------------------------------------------------------------------------
 # Orders
 # ---------------------------------------------------------------------------

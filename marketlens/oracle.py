@@ -648,9 +648,6 @@ ORACLE["grouped_tree_rollup"] = sql(
     UNION ALL SELECT 3, category, line_state, product, {group_sums()} FROM enr GROUP BY category, line_state, product""",
     "enr",
 )
-ORACLE["grouped_invalid_key"] = sql(
-    f"SELECT sku AS group_value, {group_sums()} FROM enr WHERE FALSE GROUP BY sku", "enr"
-)
 
 # ---------------------------------------------------------------------------
 # Sort, paging, export

@@ -80,3 +80,12 @@ def write_reports(table: DataFrame, path: str) -> None:
         .partitionBy("report_id")
         .parquet(path)
     )
+
+
+def drop_stored(spark: SparkSession, path: str, report_ids: list[str]) -> None:
+    """Remove the stored lines of reports that now convert to nothing."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for report_id in report_ids:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(report_id)
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/report_id={name}")
+        place.getFileSystem(conf).delete(place, True)

@@ -10,60 +10,68 @@ from pyspark.sql import types as T
 
 from marketlens.functions.text import trim_text
 
-# Layouts are column lists, so their number is that of sheet designs in use.
-MAX_LAYOUTS = 1000
-
 
 def file_line_no() -> Column:
     """A number that grows with the line's place in its file, for any split of the file.
 
-    Upper bits: where the split starts, in MiB; lower 33 bits: the row within
-    the task, which reads a split from its start.
+    Upper bits: where the split starts, in 16 bytes; lower 30 bits: the row
+    within the task, which reads a split from its start.
     """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    start = F.shiftright(F.col("_metadata.file_block_start"), 20)
-    return F.shiftleft(start, 33).bitwiseOR(row)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 30) - 1))
+    start = F.shiftright(F.col("_metadata.file_block_start"), 4)
+    return F.shiftleft(start, 30).bitwiseOR(row)
 
 
-def file_report_id() -> Column:
-    """Report id: the file name without folder and extension."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)*$", 1)
+def file_report_id(root: str) -> Column:
+    """Report id: the path below the upload folder without its last extension, as it was written."""
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
+    own = F.when(place.contains(below), F.substring_index(place, below, -1)).otherwise(F.substring_index(place, "/", -1))
+    return F.regexp_replace(own, r"(?<=[^/])\.[^./]*$", "")
 
 
 def read_sheets(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
     """All uploaded sheets below `path`, one file per report, as (sheet, headers).
 
-    CSV files are read per distinct header line; JSON and Parquet bring their
-    own column names.
+    CSV files bring a header line each, whatever the others look like. JSON and
+    Parquet files share the columns of all; a report has those it fills.
     """
     if fmt == "csv":
         return _read_csv_sheets(spark, path)
-    reader = spark.read
+    reader = spark.read.option("recursiveFileLookup", True)
     if fmt == "parquet":
         reader = reader.option("mergeSchema", True)
     raw = reader.format(fmt).load(path)
-    sheet = raw.select(file_report_id().alias("report_id"), file_line_no().alias("line_no"), "*")
-    return clean_sheet(sheet), headers_of(sheet)
+    sheet = raw.select(file_report_id(path).alias("report_id"), file_line_no().alias("line_no"), "*")
+    return clean_sheet(sheet), filled_headers(sheet)
 
 
 def _read_csv_sheets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), file_line_no().alias("line_no"), "value"
+    """Cells are read by position once, and found by the header line of their own file."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    width = reader.text(path).agg(F.max(commas)).first()[0]  # no line has more cells than this and one
+    schema = ", ".join(f"c{n} string" for n in range((width or 0) + 1))
+    raw = reader.schema(schema).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+    cells = raw.select(
+        file_report_id(path).alias("report_id"), file_line_no().alias("line_no"), F.array(*raw.columns).alias("cells")
     )
-    first = lines.groupBy("file").agg(F.min_by("value", "line_no").alias("header_line"))
-    layouts = first.groupBy("header_line").agg(F.collect_list("file").alias("files"))
-    sheets, headers = [], []
-    # File names per layout: the listing of the upload folder, not its content.
-    found = layouts.limit(MAX_LAYOUTS + 1).collect()
-    if len(found) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
-    for layout in found:
-        reader = spark.read.option("header", True).option("escape", '"')
-        raw = reader.csv(layout["files"])
-        sheet = raw.select(file_report_id().alias("report_id"), file_line_no().alias("line_no"), "*")
-        sheets.append(clean_sheet(sheet))
-        headers.append(headers_of(sheet))
-    return union_reports(*sheets), reduce(DataFrame.unionByName, headers)
+    first = cells.groupBy("report_id").agg(F.min("line_no").alias("top"), F.min_by("cells", "line_no").alias("names"))
+    named = first.select("report_id", F.posexplode("names").alias("header_pos", "header"))
+    named = named.withColumn("header", trim_text(F.coalesce("header", F.lit("")))).filter("header <> ''")
+    named = named.groupBy("report_id", "header").agg(F.min("header_pos").alias("header_pos"))
+    headers = named.select("report_id", "header_pos", "header")
+    places = headers.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "header_pos"))).alias("at"))
+    body = cells.join(places.join(first.select("report_id", "top"), "report_id"), "report_id").filter("line_no > top")
+    # One column per header in use; those a query does not ask for are not computed.
+    names = sorted(r.header for r in headers.select("header").distinct().collect())
+    columns = [_cell(n).alias(n) for n in names]
+    return body.select("report_id", "line_no", *columns), headers
+
+
+def _cell(header: str) -> Column:
+    place = F.try_element_at("at", F.lit(header))
+    return F.when(place.isNotNull(), F.coalesce(F.get("cells", place), F.lit("")))
 
 
 def clean_sheet(raw: DataFrame) -> DataFrame:
@@ -86,10 +94,15 @@ def headers_of(sheet: DataFrame) -> DataFrame:
     return reports.select("report_id", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("header_pos", "header"))
 
 
+def filled_headers(raw: DataFrame) -> DataFrame:
+    """Header table of sheets read together: of each report the columns in which it has a cell."""
+    names = [c for c in raw.columns if c not in ("report_id", "line_no")]
+    filled = raw.groupBy("report_id").agg(*[F.max(F.col(f"`{c}`").isNotNull()).alias(f"_{n}") for n, c in enumerate(names)])
+    listed = [F.struct(F.lit(n).alias("header_pos"), F.lit(c.strip()).alias("header"), F.col(f"_{n}").alias("filled")) for n, c in enumerate(names)]
+    rows = filled.select("report_id", F.explode(F.array(*listed)).alias("h"))
+    return rows.filter("h.filled").select("report_id", "h.header_pos", "h.header")
+
+
 def union_reports(*parts: DataFrame) -> DataFrame:
     """All rows of all parts, columns matched by name, missing ones NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def trimmed_headers(headers: DataFrame) -> DataFrame:
-    return headers.withColumn("header", trim_text(F.col("header")))

@@ -121,3 +121,46 @@ def test_stream_equals_batch_even_when_a_report_grows(spark, tmp_path):
     arrive(sheet_rows(spark, "R2", 2, 2).unionByName(sheet_rows(spark, "R3", 0, 1)))
     ingest_available(spark, landing, target, checkpoint, convert_all)
     assert stored() == batch() and len(stored()) == 8
+
+
+def test_parquet_reports_keep_their_own_headers(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    frame(spark, "`Ngày đặt hàng` string, `Doanh thu` double", ("2026-04-01", 5.0)).coalesce(1).write.parquet(folder + "/ra")
+    frame(spark, "`Order date` string, `Doanh thu` double", ("2026-04-02", 6.0)).coalesce(1).write.parquet(folder + "/rb")
+    got, headers = converted(spark, folder, "parquet")
+    assert sorted((str(r.order_ts.date()), r.revenue) for r in got.collect()) == [("2026-04-01", 5), ("2026-04-02", 6)]
+    assert headers.select("report_id").distinct().count() == 2
+
+
+def test_reports_are_told_apart_by_their_whole_path(spark, tmp_path):
+    text = "Ngày,Doanh thu\n2026-04-0{},1\n"
+    for n, name in enumerate(["orders.2026.01.csv", "orders.2026.02.csv", "don hang 7+%.csv"]):
+        write(tmp_path / "in", name, text.format(n + 1))
+    (tmp_path / "in" / "b").mkdir()
+    write(tmp_path / "in" / "b", "orders.2026.01.csv", text.format(4))
+    got, _ = converted(spark, str(tmp_path / "in"), "csv")
+    assert {r.report_id: r.order_ts.day for r in got.collect()} == {
+        "orders.2026.01": 1, "orders.2026.02": 2, "don hang 7+%": 3, "b/orders.2026.01": 4,
+    }
+
+
+def test_cells_may_hold_line_breaks_and_files_other_widths(spark, tmp_path):
+    write(tmp_path / "in", "R1.csv", 'Ngày,Sản phẩm,Doanh thu\n2026-04-01,"hai\ndòng, một ô",4\n')
+    write(tmp_path / "in", "R2.csv", "a,b,c,d,Doanh thu,Ngày\n1,2,3,4,9,2026-04-02\n")
+    got, _ = converted(spark, str(tmp_path / "in"), "csv")
+    assert {(r.report_id, r.product, r.revenue) for r in got.collect()} >= {("R1", "hai\ndòng, một ô", 4.0)}
+    assert {r.report_id: r.revenue for r in got.collect()} == {"R1": 4, "R2": 9}
+
+
+def test_numeric_ids_stay_plain_digits(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    frame(spark, "`Mã đơn hàng` double, `Ngày` string, `Doanh thu` double", (577012345678.0, "2026-04-01", 5.5)).write.parquet(folder)
+    got, _ = converted(spark, folder, "parquet")
+    assert [r.order_id for r in got.collect()] == ["577012345678"]
+
+
+def test_reports_that_turn_empty_lose_their_lines(spark, tmp_path):
+    path = str(tmp_path / "t")
+    reports.write_reports(frame(spark, "report_id string, n int", ("a b", 1), ("c", 2)), path)
+    reports.drop_stored(spark, path, ["a b", "never stored"])
+    assert [r.report_id for r in reports.read_reports(spark, path).collect()] == ["c"]
