@@ -1,0 +1,288 @@
+"""Operators against brute force on the small tables."""
+
+import hashlib
+import re
+import zlib
+from array import array
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from conftest import frame
+from marketlens.llm import co_training, decontamination, kneser_ney, near_dedup, packing, pii, suffix_dedup, token_counts, token_orc
+from marketlens.llm.common import scratch
+from marketlens.llm.deep_shallow import deep_shallow_sort
+from marketlens.llm.queries import QUERIES
+from marketlens.llm.tokens import VOCABULARY, encoder
+
+FOLDER = "/root/testdata/sf0.001"
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet'").fetchall())
+
+
+@pytest.fixture(scope="module")
+def ids(texts):
+    whole = Tokenizer.from_file(VOCABULARY)
+    return {d: whole.encode(t or "", add_special_tokens=False).ids for d, t in texts.items()}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def test_word_cache_gives_the_ids_of_the_library(texts, ids):
+    odd = ["<|endoftext|> <|ENDOFTEXT|>", "İstanbul ΣΑΣ Éa É. don't 3.5 ab12,,. ﬁ x́ é\tq z", "'s 't a's,", "naïve.. ,.", "中文"]
+    own = encoder()
+    for d, t in texts.items():
+        assert own.encode(t) == array("I", ids[d]).tobytes()
+    for t in odd:
+        assert own.encode(t) == array("I", own.whole.encode(t, add_special_tokens=False).ids).tobytes()
+
+
+def test_deep_shallow_sort():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        parts = [bytes(rng.choice(list(b"ab\0"), rng.integers(0, 30)).tolist()) for _ in range(8)]
+        strings = [parts[rng.integers(8)] + parts[rng.integers(8)] for _ in range(40)]
+        group = np.sort(rng.integers(0, 3, 40))
+        order, common = deep_shallow_sort(strings, group)
+        assert [(group[i], strings[i]) for i in order] == sorted(zip(group, strings, strict=True))
+        for k in range(1, 40):
+            a, b = strings[order[k - 1]], strings[order[k]]
+            shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert common[k] == (shared if group[order[k]] == group[order[k - 1]] else -1)
+
+
+@pytest.mark.parametrize("hot_runs", [1, 2000])
+def test_suffix_dedup(spark, texts, monkeypatch, hot_runs):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot_runs)
+    width = suffix_dedup.WINDOW
+    data = {d: (t or "").encode() for d, t in texts.items()}
+    seen = Counter(b[i : i + width] for b in data.values() for i in range(len(b) - width + 1))
+    for r in QUERIES["op1_suffix_dedup"](spark, FOLDER).collect():
+        b, mark = data[r.doc_id], np.zeros(len(data[r.doc_id]) + 2, int)
+        for i in range(len(b) - width + 1):
+            if seen[b[i : i + width]] > 1:
+                mark[i] += 1
+                mark[i + width] -= 1
+        gone = np.r_[False, np.cumsum(mark)[: len(b)] > 0]
+        kept = bytes(x for x, g in zip(b, gone[1:], strict=True) if not g)
+        spans = int((gone[1:] & ~gone[:-1]).sum())
+        assert tuple(r)[1:] == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_token_orc(spark, texts, ids, tmp_path):
+    start = 0
+    rows = {r.doc_id: r for r in QUERIES["op2_token_orc"](spark, FOLDER).collect()}
+    for d in sorted(texts):
+        own = array("I", [*ids[d], 2])
+        assert tuple(rows[d]) == (d, start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+    token_orc.write_tokens(spark.read.parquet(f"{FOLDER}/documents.parquet"), str(tmp_path / "t"))
+    few = token_orc.read_tokens(spark, str(tmp_path / "t"), [3, 5])
+    assert "PushedFilters: [In(doc_id" in few._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: list(r.ids) for r in few.collect()} == {d: [*ids[d], 2] for d in (3, 5)}
+
+
+def test_token_counts_across_blocks(spark, ids):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = token_counts.token_counts(docs, file_tokens=1000, block_tokens=300).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {d: len(x) + 1 for d, x in ids.items()}
+    assert max(r.n_blocks for r in rows) > 2
+
+
+def test_packing(spark, ids):
+    rows = QUERIES["op6_packing"](spark, FOLDER).collect()
+    used = defaultdict(list)
+    for r in rows:
+        own = [*ids[r.doc_id], 1][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and len(own) == r.length and r.ids_crc32 == zlib.crc32(array("I", own).tobytes())
+        used[r.sequence_id].append((r.offset, r.length))
+    assert sum(r.length for r in rows) == sum(len(x) + 1 for x in ids.values())
+    for parts in used.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *(n for _, n in parts)])[:-1].tolist() and sum(n for _, n in parts) <= 4096
+    assert len(used) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_local_search_empties_a_bin():
+    assert len(packing.best_fit([6, 5, 5, 4, 4, 4, 2], 10)) == len(packing.pack([6, 5, 5, 4, 4, 4, 2], 10)) == 3
+    size = [5, 4, 3, 3, 3, 2]
+    assert len(packing.local_search([[0, 2], [1, 3], [4, 5]], size, 10)) == 2
+
+
+def test_language_model(spark, texts, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TASK_TOKENS", 3000)
+    monkeypatch.setattr(kneser_ney, "BUCKET_TOKENS", 4000)
+    monkeypatch.setattr(kneser_ney, "HOT_SHARE", 50)
+    tokens = {d: [*words(t), None] for d, t in texts.items()}
+    train = [d for d in tokens if zlib.crc32(str(d).encode()) % 10]
+    one, two = Counter(), Counter()
+    for d in train:
+        one.update(tokens[d])
+        two.update(zip([0, *tokens[d]], tokens[d], strict=False))
+    n, v, context, before = sum(one.values()), len(one), defaultdict(lambda: [0, 0, 0, 0]), Counter()
+    for (a, b), c in two.items():
+        context[a][0] += c
+        context[a][min(c, 3)] += 1
+        before[b] += 1
+
+    def discount(counts):
+        k = [sum(c == i for c in counts) for i in range(5)]
+        y = k[1] / (k[1] + 2 * k[2])
+        return [0, *(i - (i + 1) * y * k[i + 1] / k[i] for i in (1, 2, 3))]
+
+    d2, d1, total = discount(two.values()), discount(before.values()), sum(before.values())
+    rest = sum(d1[min(c, 3)] for c in before.values()) / total / (v + 1)
+    held = [0.0, 0.0]
+    for r in QUERIES["op4_lm_scores"](spark, FOLDER).collect():
+        score = base = 0.0
+        for a, b in zip([0, *tokens[r.doc_id]], tokens[r.doc_id], strict=False):
+            base += np.log10((one[b] + 0.1) / (n + 0.1 * (v + 1)))
+            p = (before[b] - d1[min(before[b], 3)]) / total + rest
+            if a in context:
+                t, *more = context[a]
+                p = (two[a, b] - d2[min(two[a, b], 3)]) / t + sum(x * y for x, y in zip(d2[1:], more, strict=True)) / t * p
+            score += np.log10(p)
+        known = sum(one[t] > 0 for t in tokens[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens[r.doc_id]), known, n)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+        if r.held_out:
+            held = [held[0] + base, held[1] + score]
+    assert held[1] > held[0]
+
+
+def near_groups(texts):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for d, t in texts.items()}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def test_near_dedup(spark, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_near_dedup"](spark, FOLDER).collect()}
+    assert got == near_groups(texts)
+
+
+def test_near_dedup_in_a_crowded_region(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rng = np.random.default_rng(5)
+    base = [f"w{n}" for n in range(120)]
+    rows = {}
+    for d in range(80):
+        own = list(base)
+        for at in rng.choice(120, rng.integers(1, 4), replace=False):
+            own[at] = f"x{rng.integers(6)}"
+        rows[d] = " ".join(own)
+    got = near_dedup.near_duplicates(frame(spark, "doc_id long, text string", *rows.items())).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_groups(rows)
+
+
+def test_quality_rules_measures(spark, texts):
+    rows = QUERIES["op3_quality_rules"](spark, FOLDER).collect()
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        own = re.findall(r"[^\x20\x09-\x0D]+", t)
+        triples = Counter(zip(own, own[1:], own[2:], strict=False))
+        repeated = {i + k for i in range(len(own) - 2) if triples[tuple(own[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        expected = (len(own), sum(map(len, own)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated))
+        assert tuple(r)[1:6] == expected
+        assert r.base_failed == (len(own) < 50 or 100 * len(repeated) > 50 * len(own)) and not (r.kept and r.base_failed)
+    quality = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{FOLDER}/labels.parquet'").fetchall())
+    judged = [(r.kept, quality[r.doc_id]) for r in rows if r.doc_id in quality and not r.base_failed]
+    assert np.mean([k == (q == 1) for k, q in judged]) > 0.9
+
+
+def test_classifier_on_documents_it_was_not_fitted_on(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = co_training.train(docs, labels.filter("doc_id % 3 <> 0"))
+    kept = {r.doc_id: r.kept for r in co_training.scores(docs, model).collect()}
+    held = labels.filter("doc_id % 3 = 0").collect()
+    assert np.mean([kept[r.doc_id] == (r.quality == 1 and r.toxic == 0) for r in held]) > 0.85
+
+
+def test_benchmark_passages(spark):
+    asked = "Tom has 12 apples and gives Anna 5 km of rope, so how many apples does Tom keep after 12 days of work?"
+    same = asked.replace("12", "31").replace("Tom", "Ravi").replace("5 km", "80 miles").replace("Anna", "Mei")
+    # Every window around the first slots holds the pair that no longer maps one to one.
+    other = same.replace("keep after 31 days", "keep after 44 days")
+    rows = [(1, f"Lead in. {asked} And on."), (2, same), (3, "Nothing of that kind is asked in this text at all, or is it?"), (4, other)]
+    docs = frame(spark, "doc_id long, text string", *rows)
+    benchmark = frame(spark, "item_id long, text string", (7, asked))
+    got = {r.doc_id: r for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert {1, 2} <= set(got) and 3 not in got
+    assert got[1].changed_slots == 0 and got[2].changed_slots > 0
+    assert 4 not in got or got[4].n_windows < got[2].n_windows
+
+
+def test_benchmark_on_the_tables(spark, texts):
+    def plain(t):
+        return " ".join(re.findall(r"\w+", (t or "").lower()))
+
+    items = duckdb.sql(f"SELECT item_id, text FROM '{FOLDER}/benchmark.parquet'").fetchall()
+    expected = {(d, i) for d, t in texts.items() for i, x in items if plain(x) in plain(t)}
+    assert {(r.doc_id, r.item_id) for r in QUERIES["op9_decontamination"](spark, FOLDER).collect()} == expected
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mail Bob.Smith@mail6.example.com, bob.smith@MAIL6.example.com; card 4111 1111 1111 1111 or 4111-1111-1111-1111, not 4111111111111112."),
+        (2, 'call +1 (319) 555-5132 at 10.0.0.1, v1.2.3.4.5; token = "6df57b16f87eabefefcab67b433efd90636bb6bd" password=f2f5acd241f026fd29'),
+        (3, "Mrs. Anna Schmidt met Mr. Jonas Weber; Mrs Anna Schmidt left. Licensed under version 2.0."),
+    ]
+    got = {r.doc_id: r for r in pii.replaced(frame(spark, "doc_id long, text string", *rows)).collect()}
+    one = re.fullmatch(r"Mail (\S+), (\S+); card ([\d ]{19}) or ([\d-]{19}), not 4111111111111112\.", got[1].text)
+    assert one[1].lower() == one[2].lower() and one[1] != "Bob.Smith@mail6.example.com" and one[1].endswith(".example")
+    assert one[3].replace(" ", "") == one[4].replace("-", "") != "4111111111111111"
+    digits = [int(c) for c in one[3] if c.isdigit()][::-1]
+    assert sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(digits)) % 10 == 0
+    assert re.fullmatch(
+        r'call \+1 \(\d{3}\) \d{3}-\d{4} at (\d{1,3}\.){3}\d{1,3}, v1\.2\.3\.4\.5; token = "[0-9a-f]{40}" password=[0-9a-f]{18}', got[2].text
+    )
+    assert got[2].kinds == "phone,ip,secret,secret" and "555-5132" not in got[2].text
+    names = re.fullmatch(r"Mrs\. (\w+ \w+) met Mr\. (\w+) \w+; Mrs (\w+ \w+) left\. Licensed under version 2\.0\.", got[3].text)
+    assert names[1] == names[3] and names[1].split()[0] in pii.GIVEN["f", "latin"] and names[2] in pii.GIVEN["m", "latin"]
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With a hash of four values nearly all first surrogates collide."""
+    whole = pii._code
+    monkeypatch.setattr(pii, "_code", lambda key, kind, canon, tries: whole(
+        key, kind, pii.F.when(tries == 0, pii.F.substr(canon, pii.F.lit(9))).otherwise(canon), tries))
+    rows = [(n, f"from 10.0.0.{n} and 10.0.1.{n}") for n in range(40)]
+    got = pii.replaced(frame(spark, "doc_id long, text string", *rows)).collect()
+    found = [x for r in got for x in re.findall(r"[\d.]+", r.text)]
+    assert len(found) == len(set(found)) == 80
+
+
+def test_pipeline_keeps_what_it_should(spark):
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    kept = {r.doc_id for r in rows}
+    assert kept and sum(labels[d].quality == 0 for d in kept if d in labels) <= 0.1 * len(labels)
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096
