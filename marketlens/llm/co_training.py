@@ -44,7 +44,7 @@ FEWEST_DOCUMENTS = 5
 # Standard errors by which the share of good documents with a feature differs from the share of all.
 TELLING = 3.0
 STEPS = 250
-PENALTY = 1e-5
+PENALTY = 3e-5
 EDGES = (1e-9, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.999)
 MEASURES = 9
 TEXT_SIZE = (1 << WORD_BITS) + MEASURES * 32
@@ -96,7 +96,9 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
 class View:
     """Logistic regression over binary features given by number, with a Platt calibration."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, words: int = 0):
+        """Features below `words` are words and count only if they tell something; the others always do."""
+        self.words = words
         self.weights, self.bias, self.slope, self.shift = np.zeros(size), 0.0, 1.0, 0.0
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -110,7 +112,7 @@ class View:
         owner, part = np.repeat(np.arange(len(rows)), length), y.mean()
         holders, good = np.bincount(place, minlength=size), np.bincount(place, y[owner], size)
         differs = (good - part * holders) ** 2 > TELLING**2 * part * (1 - part) * holders
-        used = np.flatnonzero((holders >= FEWEST_DOCUMENTS) & differs)
+        used = np.flatnonzero((holders >= FEWEST_DOCUMENTS) & differs | (holders > 1) & (np.arange(size) >= self.words))
         renumber = np.full(size, len(used))
         renumber[used] = np.arange(len(used))
         place = renumber[place]
@@ -153,7 +155,7 @@ class Classifier:
     """Both views and how to combine them."""
 
     def __init__(self, share: float):
-        self.text, self.meta = View(TEXT_SIZE), View(META_SIZE)
+        self.text, self.meta = View(TEXT_SIZE, 1 << WORD_BITS), View(META_SIZE)
         self.mix, self.share = np.zeros(3), share
 
     def probabilities(self, text: list[np.ndarray], meta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
