@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest data folder."""
+"""Every query of the catalog against its SQL on the smallest data folder."""
 
 import os
 
@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, comparable
+from marketlens.catalog import QUERIES
+from marketlens.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -21,17 +23,18 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    got = comparable(entry.queries()[name](spark, FOLDER).toPandas())
-    want = comparable(db.execute(entry.oracle_sql()[name]).df())
+    got = comparable(QUERIES[name](spark, FOLDER).toPandas())
+    want = comparable(db.execute(ORACLE[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
     assert got.equals(want)
