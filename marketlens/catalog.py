@@ -24,17 +24,23 @@ from marketlens.streaming.ingest import ingest_available
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Added before rounding sums to two digits, so that exact half cents, common
-# among these amounts, do not depend on the order of summation.
-ROUNDING_SHIFT = 0.00137
+# Columns shown with more digits than amounts.
+DIGITS = {"paid_ratio": 6, "ratio": 6, "parsed": 6}
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Comparable output: amounts to two digits, timestamps as text."""
+    """Comparable output: amounts to two digits, ratios to six, timestamps as text.
+
+    Amounts first pass through the decimal digits that sums of doubles agree on
+    in any order, six below ten million and four above, so that half a cent is
+    always rounded up.
+    """
     def shown(field):
         c = f"`{field.name}`"
         if isinstance(field.dataType, T.DoubleType):
-            return f"round({c} + {ROUNDING_SHIFT}D, 2) + 0D AS {c}"
+            digits = DIGITS.get(field.name, 2)
+            fine, coarse = (f"round(CAST({c} AS DECIMAL(38, {kept})), {digits})" for kept in (6, 4))
+            return f"CAST(CASE WHEN abs({c}) < 1e7 THEN {fine} ELSE {coarse} END AS DOUBLE) AS {c}"
         if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
             return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss') AS {c}"
         if isinstance(field.dataType, T.DateType):
@@ -202,7 +208,7 @@ def _number_text():
 @query
 def clean_numbers(star):
     lines = star.table("lineitem").select(A.line_no().alias("line_no"), _number_text().alias("cell"))
-    return lines.select("line_no", "cell", numbers.text_to_number(F.col("cell")).alias("value"))
+    return lines.select("line_no", "cell", numbers.text_to_number(F.col("cell")).alias("parsed"))
 
 
 def _date_cell():
@@ -692,6 +698,22 @@ def detail_page(star):
     return dashboard(star).rows_page(sort="gross_sales", direction="desc", number=4)
 
 
+@query
+def detail_next_page(star):
+    """The page after the fourth, found by that page's last row."""
+    board = dashboard(star)
+    shown = board.rows_page(sort="gross_sales", direction="desc", number=4, keys=True).collect()
+    return board.rows_after(shown[-1], sort="gross_sales", direction="desc")
+
+
+@query
+def detail_deep_page(star):
+    """Rows 15,001 to 15,015 from the numbered copy that all pages of this order share."""
+    board = dashboard(star)
+    path = written(star, "pages", lambda path: board.write_pages(path, sort="gross_sales", direction="desc"))
+    return board.stored_page(path, number=1001)
+
+
 @query
 def detail_total(star):
     return dashboard(star).rows_total(Filters(search="red")).withColumn(
@@ -719,7 +741,7 @@ def report_listing(star):
 @query
 def export_detail(star):
     path = f"{work_dir(star.spark)}/export-{uuid.uuid4().hex}"
-    paging.write_export(dashboard(star).rows(Filters(status=S.STATE_PARTLY_RETURNED)), path, "parquet")
+    paging.write_export(dashboard(star).rows(), path, "parquet")
     return star.spark.read.parquet(path)
 
 

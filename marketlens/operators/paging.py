@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens import schemas as S
-from marketlens.sources.storage import work_dir
 
 PAGE_SIZE = 15
-# Up to here a page is a top-k: every task keeps this many rows at most.
-# Pages further back read a numbered snapshot instead.
-TOP_ROWS = 10_000
 
 
 def sort_columns(column: str, direction: str, ties: list[str]) -> list[Column]:
@@ -35,23 +32,41 @@ def group_order(sort: str | None = "gross_sales", direction: str = "desc") -> li
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page (numbered from 1) of `df` in the given order."""
-    offset = (max(1, number) - 1) * size
-    if offset + size <= TOP_ROWS:
-        return df.orderBy(*order).offset(offset).limit(size)
-    return rows_between(numbered(df, order), offset, size).orderBy(*order)
+    """One page (numbered from 1) of `df` in the given order, as a top-k.
+
+    Every task keeps the rows up to the page's end. To browse on from a page
+    use `rows_after`; to jump far back use `write_numbered` and `stored_page`.
+    """
+    return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
-def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """`df` with `row_number` from 0 in the given order, without pulling it through one task.
+def rows_after(df: DataFrame, column: str, direction: str, ties: list[str], last: Mapping, size: int = PAGE_SIZE) -> DataFrame:
+    """The rows that follow `last` in the order of `sort_columns`; every task keeps one page.
 
-    The range-sorted rows are written once with their place inside their
-    partition; only the row count per partition is then summed up. The written
-    copy keeps place and count consistent when a task is run again, and all
-    pages of one query can read it.
+    `last` holds the values of the sort column and the ties, which together
+    name one row.
+    """
+    keys = [column, *[t for t in ties if t != column]]
+    same, following = F.lit(True), F.lit(False)
+    for key in keys:
+        value = last[key]
+        if isinstance(value, (datetime.datetime, datetime.date)):
+            value = str(value)
+        value = F.lit(value).cast(df.schema[key].dataType)
+        down = key == column and str(direction).lower() == "desc"
+        further = (F.col(key) < value) if down else (F.col(key) > value)
+        if last[key] is not None:  # nothing follows a NULL but its ties
+            following = following | (same & (further | F.col(key).isNull()))
+        same = same & F.col(key).eqNullSafe(value)
+    return df.filter(following).orderBy(*sort_columns(column, direction, ties)).limit(size)
+
+
+def write_numbered(df: DataFrame, order: list[Column], path: str) -> None:
+    """Write `df` range-sorted, each row with its place inside its partition.
+
+    The written copy keeps place and count consistent when a task is run
+    again. All pages of one query read it; who wrote it deletes it.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/numbered-{uuid.uuid4().hex}"
     part_bits = 33  # layout of monotonically_increasing_id: partition above, place below
     place = F.monotonically_increasing_id()
     (
@@ -62,6 +77,10 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
         .drop("_id")
         .write.parquet(path)
     )
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of `write_numbered` with `row_number` from 0, without pulling them through one task."""
     stored = spark.read.parquet(path)
     # One row per sorted partition: bounded by the partition count, not by the data.
     counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
@@ -74,9 +93,12 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def rows_between(numbered_rows: DataFrame, offset: int, count: int) -> DataFrame:
+def stored_page(spark: SparkSession, path: str, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One page (numbered from 1) of a written copy, in its order."""
+    offset = (max(1, number) - 1) * size
     at = F.col("row_number")
-    return numbered_rows.filter((at >= offset) & (at < offset + count)).drop("row_number")
+    wanted = numbered(spark, path).filter((at >= offset) & (at < offset + size))
+    return wanted.orderBy("row_number").drop("row_number")
 
 
 def page_count(total: int, size: int = PAGE_SIZE) -> int:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from marketlens import schemas as S
 from marketlens.adapters import star_schema as A
-from marketlens.catalog import DATE_FROM, DATE_TO, ROUNDING_SHIFT
+from marketlens.catalog import DATE_FROM, DATE_TO
 from marketlens.functions.dates import PRESETS
 
 ORACLE: dict[str, str] = {}
@@ -26,8 +26,13 @@ def in_list(values) -> str:
     return "(" + ", ".join(lit(v) for v in values) + ")"
 
 
-def money(expr: str) -> str:
-    return f"round(({expr}) + {ROUNDING_SHIFT}, 2) + 0.0"
+def money(expr: str, digits: int = 2) -> str:
+    fine, coarse = (f"round(CAST(({expr}) AS DECIMAL(38, {kept})), {digits})" for kept in (6, 4))
+    return f"CAST(CASE WHEN abs({expr}) < 1e7 THEN {fine} ELSE {coarse} END AS DOUBLE)"
+
+
+def ratio(expr: str) -> str:
+    return money(expr, 6)
 
 
 def day(expr: str) -> str:
@@ -48,7 +53,9 @@ def shown(*columns: str) -> str:
     """Select list with amounts rounded and timestamps as text."""
     out = []
     for c in columns:
-        if c in _AMOUNTS:
+        if c in ("paid_ratio", "ratio"):
+            out.append(f"{ratio(c)} AS {c}")
+        elif c in _AMOUNTS:
             out.append(f"{money(c)} AS {c}")
         elif c == "order_ts":
             out.append(f"{day(c)} AS {c}")
@@ -211,12 +218,12 @@ _OLD = f"report_id = 'R{A.OLD_YEAR}'"
 ORACLE["scan_union_by_name"] = sql(
     f"""SELECT report_id, line_no, {money('gross_sales')} AS gross_sales,
       CASE WHEN NOT {_OLD} THEN {money('discount')} END AS discount,
-      CASE WHEN NOT {_OLD} THEN {money('paid_ratio')} END AS paid_ratio FROM ord""",
+      CASE WHEN NOT {_OLD} THEN {ratio('paid_ratio')} END AS paid_ratio FROM ord""",
     "ord",
 )
 ORACLE["optional_columns"] = sql(
     "SELECT report_id, line_no, "
-    + ", ".join(f"{money(f'CASE WHEN {_OLD} THEN 0 ELSE {c} END')} AS {c}" for c in S.OPTIONAL_ORDER_COLUMNS)
+    + ", ".join(f"{money(f'CASE WHEN {_OLD} THEN 0 ELSE {c} END', 6 if c == 'paid_ratio' else 2)} AS {c}" for c in S.OPTIONAL_ORDER_COLUMNS)
     + " FROM ord",
     "ord",
 )
@@ -321,7 +328,7 @@ _CELL = f"""CASE l_orderkey % 8 WHEN 0 THEN {grouped_digits(_WHOLE)} || ' đ'
   ELSE l_linenumber || '.' || {_WHOLE} || '-' END"""
 ORACLE["clean_numbers"] = f"""
 WITH cells AS (SELECT {LINE_NO} AS line_no, {_CELL} AS cell FROM lineitem)
-SELECT line_no, cell, {money(parsed_number('cell'))} AS value FROM cells"""
+SELECT line_no, cell, {money(parsed_number('cell'), 6)} AS parsed FROM cells"""
 ORACLE["clean_dates"] = f"""
 SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (0, 1, 2, 3, 4, 9) THEN {day('o_orderdate')}
     WHEN o_orderkey % 10 = 6 AND month(o_orderdate) IN (1, 3, 5, 7, 8, 10, 12)
@@ -367,7 +374,7 @@ ORACLE["convert_orders"] = _CONVERTED
 ORACLE["incremental_ingest"] = _CONVERTED
 ORACLE["convert_combo"] = sql(
     f"""SELECT 'K' || s % 5 AS report_id, combo_sku, sub_sku, slot,
-      {money("CASE WHEN s % 5 = 4 THEN 0 ELSE ratio END")} AS ratio
+      {ratio("CASE WHEN s % 5 = 4 THEN 0 ELSE ratio END")} AS ratio
     FROM combo JOIN variants ON combo_sku = 'P' || p || '-' || s WHERE p % 90 <> 0""",
     "combo", "variants",
 )
@@ -654,11 +661,12 @@ ORACLE["grouped_tree_rollup"] = sql(
 # ---------------------------------------------------------------------------
 _DETAIL = shown(*S.DETAIL_COLUMNS)
 ORACLE["detail_sorted"] = sql(f"SELECT {_DETAIL} FROM enr", "enr")
-ORACLE["detail_page"] = sql(
-    f"""SELECT {_DETAIL} FROM (SELECT * FROM enr ORDER BY gross_sales DESC NULLS LAST, report_id, line_no,
-      slot NULLS LAST, sku_variant LIMIT 15 OFFSET 45)""",
-    "enr",
-)
+for _name, _offset in (("detail_page", 45), ("detail_next_page", 60), ("detail_deep_page", 15000)):
+    ORACLE[_name] = sql(
+        f"""SELECT {_DETAIL} FROM (SELECT * FROM enr ORDER BY gross_sales DESC NULLS LAST, report_id, line_no,
+          slot NULLS LAST, sku_variant LIMIT 15 OFFSET {_offset})""",
+        "enr",
+    )
 ORACLE["detail_total"] = sql(
     "SELECT count(*) AS total, greatest(ceil(count(*) / 15.0), 1)::BIGINT AS pages FROM enr WHERE "
     + " OR ".join(
@@ -676,9 +684,7 @@ SELECT * EXCLUDE (report_id) FROM ({_ADJUSTMENT}) WHERE report_id = 'A1' ORDER B
 ORACLE["report_listing"] = sql(
     "SELECT report_id, 'don hang ' || y AS name, y || '-12-31 00:00:00' AS uploaded_at, status FROM reports", "reports"
 )
-ORACLE["export_detail"] = sql(
-    f"SELECT {_DETAIL} FROM enr WHERE line_state = {lit(S.STATE_PARTLY_RETURNED)}", "enr"
-)
+ORACLE["export_detail"] = sql(f"SELECT {_DETAIL} FROM enr", "enr")
 grouped("export_grouped", "customer")
 ORACLE["export_projection"] = sql(
     f"""SELECT order_id AS "{S.DETAIL_LABELS['order_id']}", {money('gross_sales')} AS "{S.DETAIL_LABELS['gross_sales']}",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ _NO_FILTERS = Filters()
 
 
 class Dashboard:
-    """Every method returns a lazy DataFrame that reads only the columns and joins it needs."""
+    """Every method but `write_pages` returns a lazy DataFrame that reads only the columns and joins it needs."""
 
     def __init__(self, sources: Sources):
         self.sources = sources
@@ -110,10 +111,30 @@ class Dashboard:
 
     def rows_page(
         self, filters: Filters = _NO_FILTERS, sort: str = "order_ts", direction: str = "asc",
-        number: int = 1, size: int = paging.PAGE_SIZE,
+        number: int = 1, size: int = paging.PAGE_SIZE, keys: bool = False,
+    ) -> DataFrame:
+        """One page by its number; with `keys` also the line key, which `rows_after` takes."""
+        found = paging.page(self._keyed(filters), paging.detail_order(sort, direction), number, size)
+        return found if keys else found.select(*S.DETAIL_COLUMNS)
+
+    def rows_after(
+        self, last: Mapping, filters: Filters = _NO_FILTERS, sort: str = "order_ts", direction: str = "asc",
+        size: int = paging.PAGE_SIZE, keys: bool = False,
     ) -> DataFrame:
-        order = paging.detail_order(sort, direction)
-        return paging.page(self._keyed(filters), order, number, size).select(*S.DETAIL_COLUMNS)
+        """The page after a row of an earlier one, at the same cost however far back."""
+        column = sort if sort in S.DETAIL_SORT_COLUMNS else "order_ts"
+        found = paging.rows_after(self._keyed(filters), column, direction, S.LINE_KEY, last, size)
+        return found if keys else found.select(*S.DETAIL_COLUMNS)
+
+    def write_pages(
+        self, path: str, filters: Filters = _NO_FILTERS, sort: str = "order_ts", direction: str = "asc"
+    ) -> None:
+        """Write all matching lines numbered, for pages by `stored_page`."""
+        paging.write_numbered(self._keyed(filters), paging.detail_order(sort, direction), path)
+
+    def stored_page(self, path: str, number: int = 1, size: int = paging.PAGE_SIZE) -> DataFrame:
+        found = paging.stored_page(self.sources.orders.sparkSession, path, number, size)
+        return found.select(*S.DETAIL_COLUMNS)
 
     def rows_total(self, filters: Filters = _NO_FILTERS) -> DataFrame:
         return self.lines(filters, ["line_state"]).agg(F.count(F.lit(1)).alias("total"))

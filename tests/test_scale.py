@@ -85,22 +85,49 @@ def test_order_facts_with_a_hot_order(spark, tiny_limits):
     assert got.filter("ship_fee > 0").count() == orders
 
 
-def test_deep_pages_equal_top_k_pages(spark, monkeypatch):
+def ranked(spark):
+    """Rows in an order with ties and NULLs in both sort columns."""
     rows = spark.range(1000, numPartitions=5).select(
-        (F.col("id") * 7 % 10).alias("a"), F.when(F.col("id") % 9 != 0, F.col("id")).alias("b"), "id"
+        F.when(F.col("id") % 11 != 0, F.col("id") * 7 % 10).alias("a"),
+        F.when(F.col("id") % 9 != 0, F.timestamp_seconds(F.col("id")).cast("timestamp_ntz")).alias("b"), "id",
     )
-    order = paging.sort_columns("a", "desc", ["b", "id"])
-    shallow = [[r.id for r in paging.page(rows, order, n, 130).collect()] for n in range(1, 10)]
-    monkeypatch.setattr(paging, "TOP_ROWS", 0)
-    deep = [[r.id for r in paging.page(rows, order, n, 130).collect()] for n in (1, 4, 8, 9)]
-    assert deep == [shallow[0], shallow[3], shallow[7], shallow[8]]
+    return rows, ["b", "id"]
+
+
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_all_ways_of_paging_give_the_whole_order(spark, tmp_path, direction):
+    rows, ties = ranked(spark)
+    order = paging.sort_columns("a", direction, ties)
     whole = [r.id for r in rows.orderBy(*order).collect()]
-    assert [i for p in shallow for i in p] == whole
+    by_number = [r.id for n in range(1, 10) for r in paging.page(rows, order, n, 130).collect()]
+    path = str(tmp_path / "pages")
+    paging.write_numbered(rows, order, path)
+    by_copy = [r.id for n in range(1, 10) for r in paging.stored_page(spark, path, n, 130).collect()]
+    found = paging.page(rows, order, 1, 130).collect()
+    by_key = []
+    while found:
+        by_key += [r.id for r in found]
+        found = paging.rows_after(rows, "a", direction, ties, found[-1], 130).collect()
+    assert by_number == whole and by_copy == whole and by_key == whole
     assert paging.page_count(0) == 1 and paging.page_count(31) == 3
 
 
-def test_numbering_reads_every_row_once(spark):
-    rows = spark.range(500, numPartitions=4)
-    numbered = paging.numbered(rows, [F.col("id").desc()])
-    got = sorted((r.row_number, r.id) for r in numbered.collect())
+def test_building_a_page_starts_no_job(spark, tmp_path):
+    rows, ties = ranked(spark)
+    order = paging.sort_columns("a", "asc", ties)
+    path = str(tmp_path / "pages")
+    paging.write_numbered(rows.select("a", "b", "id"), order, path)
+    known = paging.numbered(spark, path).schema  # listing the files of a new folder is Spark's own
+    spark.sparkContext.setJobGroup("paging", "pages")
+    paging.page(rows, order, 700, 15)
+    paging.rows_after(rows, "a", "asc", ties, {"a": 3, "b": None, "id": 9}, 15)
+    ran = spark.sparkContext.statusTracker().getJobIdsForGroup("paging")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(ran) and "row_number" in known.names
+
+
+def test_numbering_reads_every_row_once(spark, tmp_path):
+    path = str(tmp_path / "numbered")
+    paging.write_numbered(spark.range(500, numPartitions=4), [F.col("id").desc()], path)
+    got = sorted((r.row_number, r.id) for r in paging.numbered(spark, path).collect())
     assert got == [(n, 499 - n) for n in range(500)]
