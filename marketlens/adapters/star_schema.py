@@ -23,6 +23,13 @@ CHANNEL_NAMES = {"c1": "Sàn A", "c2": "Sàn B", "c3": "Cửa hàng"}
 
 BAD_DATE_EVERY = 97
 BLANK_ID_EVERY = 101
+# Reports of the side inputs: first letter of their ids and how many there are; the last one is still processing.
+SIDE_REPORTS = {"combo": ("K", 4), "cashflow": ("F", 5), "master": ("M", 6)}
+
+
+def side_report(kind: str, key: Column) -> Column:
+    letter, n = SIDE_REPORTS[kind]
+    return F.concat(F.lit(letter), key % n).alias("report_id")
 
 
 class Star:
@@ -75,7 +82,8 @@ class Star:
             _slot(_variant(part + 2), F.when(three, 0.3).otherwise(F.lit(0.5)), 2),
             _slot(F.when(three, _variant(part + 3)).otherwise(F.lit("")), F.lit(0.2), 3),
         )
-        rows = self.combo_variants().select(_variant(part).alias("combo_sku"), F.inline(slots))
+        report = side_report("combo", F.col("l_suppkey"))
+        rows = self.combo_variants().select(report, _variant(part).alias("combo_sku"), F.inline(slots))
         return rows.filter(F.col("sub_sku") != "")
 
     def master(self) -> DataFrame:
@@ -87,6 +95,7 @@ class Star:
             .filter(key % 7 != 0)
             .select("*", F.explode(copies).alias("suffix"))
             .select(
+                side_report("master", key),
                 F.concat(F.lit("P"), key).alias("sku"),
                 F.concat("p_brand", "suffix").alias("item_group"),
                 F.concat("p_type", "suffix").alias("product_type"),
@@ -101,10 +110,12 @@ class Star:
         fee = F.floor(F.col("o_totalprice") * 0.02).cast("double")
         fees = F.when(key % 9 == 1, F.array(fee, F.lit(500.0))).otherwise(F.array(fee))
         rows = self.table("orders").filter(key % 3 != 0)
-        return rows.select(key.cast("string").alias("order_id"), F.explode(fees).alias("aff_fee"))
+        return rows.select(
+            side_report("cashflow", key), key.cast("string").alias("order_id"), F.explode(fees).alias("aff_fee")
+        )
 
     def manifest(self) -> DataFrame:
-        """One order report per year, with its channel and state.
+        """One order report per year, with its channel and state, and the side reports.
 
         Built from the first and last order date, so Spark knows it is tiny.
         """
@@ -118,7 +129,17 @@ class Star:
             .when(y == ORPHAN_YEAR, F.lit("c9"))
             .otherwise(F.concat(F.lit("c"), y % 3 + 1))
         )
-        return years.select(
+        side = [
+            F.struct(
+                F.lit(f"{letter}{i}").alias("report_id"),
+                F.lit(kind).alias("kind"),
+                F.lit("processing" if i == n - 1 else "ready").alias("status"),
+            )
+            for kind, (letter, n) in SIDE_REPORTS.items()
+            for i in range(n)
+        ]
+        side_rows = self.spark.range(1).select(F.inline(F.array(*side)), F.lit(True).alias("stored"))
+        orders = years.select(
             F.concat(F.lit("R"), y).alias("report_id"),
             F.lit("orders").alias("kind"),
             F.concat(F.lit("don hang "), y).alias("name"),
@@ -127,6 +148,7 @@ class Star:
             (y != 1998).alias("stored"),
             channel.alias("channel_id"),
         )
+        return orders.unionByName(side_rows, allowMissingColumns=True)
 
     def channels(self) -> DataFrame:
         rows = [F.struct(F.lit(k).alias("channel_id"), F.lit(v).alias("name")) for k, v in CHANNEL_NAMES.items()]
@@ -145,6 +167,7 @@ class Star:
         write_reports(self.orders(), f"{root}/orders")
         for kind in ("combo", "cashflow", "master"):
             getattr(self, kind)().write.parquet(f"{root}/{kind}")
+        self.manifest().coalesce(1).write.parquet(f"{root}/manifest")
 
     def stored(self, root: str) -> Sources:
         """Sources over tables written by `store`."""
@@ -152,9 +175,12 @@ class Star:
             return self.spark.read.parquet(f"{root}/{kind}")
 
         orders = read_reports(self.spark, f"{root}/orders", S.ORDERS_SCHEMA)
-        channels = report_channels(self.manifest(), self.channels())
+        channels = report_channels(self.stored_manifest(root), self.channels())
         return Sources(orders, read("combo"), read("cashflow"), read("master"), channels)
 
+    def stored_manifest(self, root: str) -> DataFrame:
+        return self.spark.read.parquet(f"{root}/manifest")
+
     # -- raw sheets -----------------------------------------------------------
 
     def raw_orders(self) -> DataFrame:
@@ -177,7 +203,7 @@ class Star:
             *[x for y, hs in ORDER_LAYOUTS.items() for x in (F.lit(f"R{y}"), F.array(*[F.lit(h) for h in hs]))]
         )
         headers = F.posexplode(F.element_at(layouts, F.col("report_id"))).alias("header_pos", "header")
-        return self.manifest().select("report_id", headers)
+        return self.manifest().filter(F.col("kind") == "orders").select("report_id", headers)
 
     def shop_headers(self, layouts: list[list[str]]) -> DataFrame:
         """One upload per customer account, in one of the given layouts and one of three spellings."""

@@ -75,7 +75,8 @@ def written(star: A.Star, what: str, write: Callable[[str], None]) -> str:
 
 def dashboard(star: A.Star) -> Dashboard:
     """Dashboard over the stored tables."""
-    return Dashboard(star.stored(written(star, "tables", star.store)))
+    root = written(star, "tables", star.store)
+    return Dashboard(star.stored(root), star.stored_manifest(root))
 
 
 def landed_sheets(star: A.Star) -> str:
@@ -88,7 +89,8 @@ def order_sheets(star: A.Star) -> DataFrame:
 
 
 def stored_orders(star: A.Star) -> DataFrame:
-    return dashboard(star).sources.orders
+    """Lines of all reports, ready or not."""
+    return star.stored(written(star, "tables", star.store)).orders
 
 
 KEY = ["report_id", "line_no"]
@@ -323,6 +325,27 @@ def incremental_ingest(star):
     return reports.read_reports(star.spark, target, S.ORDERS_SCHEMA)
 
 
+@query
+def ingest_outcomes(star):
+    """The manifest after the stream has converted all order sheets."""
+    root = f"{work_dir(star.spark)}/ingest-{uuid.uuid4().hex}"
+    headers = star.order_headers()
+    mapped = mapping.map_orders(headers)
+
+    def convert_sheet(sheet):
+        return convert.convert_orders(sheets.clean_sheet(sheet), headers, mapped)
+
+    def judge(lines):
+        return mapping.report_status(headers, mapped, lines, "orders")
+
+    ingest_available(
+        star.spark, landed_sheets(star), f"{root}/orders", f"{root}/checkpoint", convert_sheet, judge, f"{root}/outcomes"
+    )
+    listed = reports.list_reports(star.manifest(), "orders")
+    after = reports.record_outcomes(listed, reports.read_reports(star.spark, f"{root}/outcomes"))
+    return after.select("report_id", "name", "status", "stored", "row_count", "error")
+
+
 # ---------------------------------------------------------------------------
 # Row derivations
 # ---------------------------------------------------------------------------

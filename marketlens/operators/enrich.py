@@ -12,6 +12,7 @@ from marketlens import schemas as S
 from marketlens.functions import money
 from marketlens.functions.text import parent_sku
 from marketlens.operators.skew import hot_keys, lookup_join
+from marketlens.sources.reports import keep_ready
 
 _AFF = {"order_id", "paid_ratio"}
 _GMV = {"line_state", "list_price", "net_qty"}
@@ -59,6 +60,16 @@ class Sources:
             orders = SparkSession.active().createDataFrame([], S.ORDERS_SCHEMA)
         return orders.select(*[c for c in columns if c in orders.columns])
 
+    def ready(self, manifest: DataFrame) -> Sources:
+        """What the ready reports of each kind hold; the others are not visible yet."""
+        def kept(table, kind):
+            return None if table is None else keep_ready(table, manifest, kind)
+
+        return Sources(
+            kept(self.orders, "orders"), kept(self.combo, "combo"), kept(self.cashflow, "cashflow"),
+            kept(self.master, "master"), self.channels,
+        )
+
     def for_report(self, report_id: str) -> Sources:
         """One report's lines with all side inputs, and no channel tags."""
         one = self.orders.filter(F.col("report_id") == report_id)

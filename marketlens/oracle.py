@@ -116,6 +116,10 @@ TABLES = {
         CASE WHEN line_no = first_line THEN {S.SHIP_FEE_PER_ORDER}::DOUBLE ELSE 0 END AS ship_fee, paid_ratio
       FROM (SELECT *, CASE WHEN order_paid <> 0 THEN paid / order_paid ELSE 0 END AS paid_ratio FROM facts)
       WHERE order_ts IS NOT NULL""",
+    # Of these the dashboard shows the ready reports.
+    "ready": """
+      SELECT * FROM ord WHERE report_id IN (SELECT report_id FROM reports WHERE status = 'ready' AND y <> 1998)""",
+    "ready_combo": "SELECT * FROM combo WHERE regexp_extract(combo_sku, '[0-9]+$')::BIGINT % 4 <> 3",
     "variants": "SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey % 10 = 0",
     "combo": """
       SELECT 'P' || p || '-' || s AS combo_sku, 'P' || (p + 1) || '-' || s AS sub_sku, 0.5::DOUBLE AS ratio, 1 AS slot
@@ -127,11 +131,11 @@ TABLES = {
     "master": """
       SELECT 'P' || p_partkey AS sku, p_brand AS item_group, p_type AS product_type,
         'Kho ' || (p_size % 4) AS warehouse_type, p_retailprice AS unit_cost
-      FROM part WHERE p_partkey % 7 <> 0""",
+      FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 6 <> 5""",
     "fees": """
       SELECT o_orderkey::VARCHAR AS order_id,
         floor(o_totalprice * 0.02::DOUBLE) + CASE WHEN o_orderkey % 9 = 1 THEN 500 ELSE 0 END AS order_aff_fee
-      FROM orders WHERE o_orderkey % 3 <> 0""",
+      FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 4""",
     "reports": f"""
       SELECT DISTINCT 'R' || year(o_orderdate) AS report_id, year(o_orderdate) AS y,
         CASE WHEN year(o_orderdate) = {A.UNASSIGNED_YEAR} THEN ''
@@ -166,8 +170,8 @@ TABLES = {
           CASE WHEN o.line_state IN {GMV} THEN o.discount * coalesce(c.ratio, 1) ELSE 0 END AS scoped_discount,
           CASE WHEN o.line_state IN {GMV} THEN o.voucher * coalesce(c.ratio, 1) ELSE 0 END AS scoped_voucher,
           coalesce(r.sales_channel, '') AS sales_channel
-        FROM ord o
-        LEFT JOIN combo c ON o.sku_variant = c.combo_sku
+        FROM ready o
+        LEFT JOIN ready_combo c ON o.sku_variant = c.combo_sku
         LEFT JOIN fees f ON o.order_id = f.order_id
         LEFT JOIN master m ON split_part(coalesce(c.sub_sku, o.sku_variant), '-', 1) = m.sku
         LEFT JOIN reports r ON o.report_id = r.report_id
@@ -178,7 +182,9 @@ USES = {
     "facts": ["typed"],
     "ord": ["facts"],
     "combo": ["variants"],
-    "enr": ["ord", "combo", "fees", "master", "reports"],
+    "ready": ["ord", "reports"],
+    "ready_combo": ["combo"],
+    "enr": ["ready", "ready_combo", "fees", "master", "reports"],
 }
 
 
@@ -305,6 +311,15 @@ ORACLE["report_validation"] = sql(
 )
 
 
+ORACLE["ingest_outcomes"] = sql(
+    f"""SELECT r.report_id, 'don hang ' || r.y AS name, CASE WHEN r.y = 2001 THEN 'failed' ELSE 'ready' END AS status,
+      r.y <> 2001 AS stored, CASE WHEN r.y <> 2001 THEN n END AS row_count,
+      CASE WHEN r.y = 2001 THEN 'no_date_column' END AS error
+    FROM reports r LEFT JOIN (SELECT y, count(*) AS n FROM star WHERE NOT {BAD_DATE} GROUP BY y) s ON r.y = s.y""",
+    "reports", "star",
+)
+
+
 def grouped_digits(expr: str) -> str:
     return f"replace(format('{{:,}}', ({expr})::BIGINT), ',', '.')"
 
@@ -444,19 +459,19 @@ lines(
 lines("combo_explosion", "ratio")
 ORACLE["aff_fee_join"] = sql(
     f"""SELECT o.report_id, o.line_no, o.order_id, {money('paid_ratio * coalesce(order_aff_fee, 0)')} AS line_aff_fee
-    FROM ord o LEFT JOIN fees f ON o.order_id = f.order_id""",
-    "ord", "fees",
+    FROM ready o LEFT JOIN fees f ON o.order_id = f.order_id""",
+    "ready", "fees",
 )
 ORACLE["master_lookup"] = sql(
     f"""SELECT report_id, line_no, sku_variant, split_part(sku_variant, '-', 1) AS sku,
       coalesce(item_group, '') AS item_group, coalesce(product_type, '') AS product_type,
       coalesce(warehouse_type, '') AS warehouse_type, {money('coalesce(unit_cost, 0)')} AS unit_cost
-    FROM ord LEFT JOIN master ON split_part(sku_variant, '-', 1) = sku""",
-    "ord", "master",
+    FROM ready LEFT JOIN master ON split_part(sku_variant, '-', 1) = sku""",
+    "ready", "master",
 )
 ORACLE["channel_tagging"] = sql(
-    f"SELECT report_id, line_no, {money('qty')} AS qty, sales_channel FROM ord JOIN reports USING (report_id)",
-    "ord", "reports",
+    f"SELECT report_id, line_no, {money('qty')} AS qty, sales_channel FROM ready JOIN reports USING (report_id)",
+    "ready", "reports",
 )
 ORACLE["channel_lookup"] = sql("SELECT report_id, sales_channel FROM reports", "reports")
 ORACLE["union_reports"] = sql(
@@ -482,8 +497,8 @@ _ALONE["gross_profit"] = _ALONE["nmv"]
 ORACLE["missing_side_inputs"] = sql(
     f"SELECT {shown(*KEY, *S.DETAIL_COLUMNS)} FROM (SELECT report_id, line_no, "
     + ", ".join(f"{_ALONE.get(c, c)} AS {c}" for c in S.DETAIL_COLUMNS)
-    + " FROM ord)",
-    "ord",
+    + " FROM ready)",
+    "ready",
 )
 lines("enriched_lines", *[c for c in S.DETAIL_COLUMNS if c not in LINE])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,9 @@ _NO_FILTERS = Filters()
 class Dashboard:
     """Every method but `write_pages` returns a lazy DataFrame that reads only the columns and joins it needs."""
 
-    def __init__(self, sources: Sources):
-        self.sources = sources
+    def __init__(self, sources: Sources, manifest: DataFrame | None = None):
+        """With a manifest only ready reports count, of every kind."""
+        self.sources = sources if manifest is None else sources.ready(manifest)
 
     def lines(self, filters: Filters = _NO_FILTERS, columns: list[str] | None = None) -> DataFrame:
         """Enriched lines under the filters."""
@@ -63,19 +63,14 @@ class Dashboard:
         }
 
     def summary_rows(self, filters: Filters = _NO_FILTERS) -> DataFrame:
-        """The whole summary as one table `section, label, value`; facet rows have no value."""
-        parts = self.summary(filters)
-        numbers = [c for c in parts["kpis"].columns]
-        unpivoted = F.array(
-            *[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in numbers]
-        )
-        tables = [parts["kpis"].select(F.lit("kpis").alias("section"), F.inline(unpivoted))]
-        tables.append(parts["timeline"].select(F.lit("timeline").alias("section"), F.col("month").alias("label"), "value"))
-        for name in ("top_products", "category_breakdown", "top_customers"):
-            tables.append(parts[name].select(F.lit(name).alias("section"), "label", "value"))
+        """The whole summary as one table `section, label, value`; facet rows have no value.
+
+        Two passes over the lines: one for all that follows the filters, one for the facets, which do not.
+        """
+        sums = metrics.summary_sections(self.lines(filters, metrics.SUMMARY_COLUMNS))
         no_value = F.lit(None).cast("double").alias("value")
-        tables.append(parts["facets"].select(F.col("facet").alias("section"), F.col("value").alias("label"), no_value))
-        return reduce(DataFrame.unionByName, tables)
+        choices = self.facets(filters).select(F.col("facet").alias("section"), F.col("value").alias("label"), no_value)
+        return sums.unionByName(choices)
 
     # -- groups -----------------------------------------------------------
 

@@ -40,6 +40,22 @@ def keep_ready(table: DataFrame, manifest: DataFrame, kind: str) -> DataFrame:
     return lookup_join(table, ready_reports(manifest, kind).select("report_id"), ["report_id"], "left_semi")
 
 
+def record_outcomes(manifest: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The manifest after conversions: status, row count and error of every report that has an outcome.
+
+    `outcomes` is what `report_status` returns. Other reports stay as they are, with no count or error.
+    """
+    found = outcomes.select("report_id", F.col("status").alias("_outcome"), "row_count", "error")
+    joined = lookup_join(manifest, found, ["report_id"])
+    outcome = F.col("_outcome")
+    return joined.withColumns(
+        {
+            "status": F.coalesce(outcome, "status"),
+            "stored": F.when(outcome.isNotNull(), outcome == "ready").otherwise(F.col("stored")),
+        }
+    ).drop("_outcome")
+
+
 def remove_reports(table: DataFrame, removed: DataFrame) -> DataFrame:
     """The table without the removed reports."""
     return lookup_join(table, removed.select("report_id"), ["report_id"], "left_anti")
