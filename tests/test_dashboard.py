@@ -200,6 +200,46 @@ def test_empty_source():
     assert board.rows().count() == 0 and board.facets().count() == 0 and board.timeline().count() == 0
 
 
+def summary_of(board, filters=Filters()):
+    return {(r.section, r.label): r.value for r in board.summary_rows(filters).collect()}
+
+
+def test_summary_of_nothing(spark):
+    got = summary_of(Dashboard(Sources(None)))
+    assert {section for section, _ in got} == {"kpis"} and set(got.values()) == {0.0}
+
+
+def test_summary_holds_its_parts(split_orders, combo, cashflow):
+    board = Dashboard(Sources(split_orders, combo, cashflow))
+    got = summary_of(board)
+    parts = board.summary()
+    want = {("kpis", k): pytest.approx(float(v)) for k, v in parts["kpis"].first().asDict().items()}
+    want |= {("timeline", r.month): pytest.approx(r.value) for r in parts["timeline"].collect()}
+    for name in ("top_products", "category_breakdown", "top_customers"):
+        want |= {(name, r.label): pytest.approx(r.value) for r in parts[name].collect()}
+    want |= {(r.facet, r.value): None for r in parts["facets"].collect()}
+    assert got == want
+
+
+def test_only_ready_reports_count(spark, split_orders, combo):
+    orders = split_orders.withColumn("report_id", F.lit("R1"))
+    parts = combo.withColumn("report_id", F.lit("K1"))
+
+    def board(order_state, stored, combo_state):
+        manifest = frame(
+            spark, "report_id string, kind string, status string, stored boolean",
+            ("R1", "orders", order_state, stored), ("K1", "combo", combo_state, True), ("K1", "orders", "ready", True),
+        )
+        return Dashboard(Sources(orders, parts), manifest)
+
+    whole = Dashboard(Sources(orders, parts)).rows().count()
+    plain = Dashboard(Sources(orders)).rows().count()
+    assert whole > plain
+    assert board("ready", True, "ready").rows().count() == whole
+    assert board("ready", True, "processing").rows().count() == plain
+    assert board("processing", True, "ready").rows().count() == board("ready", False, "ready").rows().count() == 0
+
+
 def test_top_and_timeline(base):
     assert [(r.label, r.value) for r in base.top("product", n=3).collect()] == [
         ("Nón cối", 310000), ("Dép quai", 216000), ("Giày vải", 190000),

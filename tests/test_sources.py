@@ -164,3 +164,37 @@ def test_reports_that_turn_empty_lose_their_lines(spark, tmp_path):
     reports.write_reports(frame(spark, "report_id string, n int", ("a b", 1), ("c", 2)), path)
     reports.drop_stored(spark, path, ["a b", "never stored"])
     assert [r.report_id for r in reports.read_reports(spark, path).collect()] == ["c"]
+
+
+def test_outcomes_follow_the_reports(spark, tmp_path):
+    landing, target, outcomes = (str(tmp_path / d) for d in ("landing", "target", "outcomes"))
+
+    def convert(sheet):
+        return sheet.filter("day IS NOT NULL")
+
+    def judge(lines):
+        listed = spark.createDataFrame([("good",), ("empty",)], "report_id string")
+        counts = lines.groupBy("report_id").count()
+        return listed.join(counts, "report_id", "left").selectExpr(
+            "report_id", "CASE WHEN count > 0 THEN 'ready' ELSE 'failed' END AS status", "count AS row_count",
+            "CASE WHEN count IS NULL THEN 'no_valid_rows' END AS error",
+        )
+
+    def arrive(*rows):
+        frame = spark.createDataFrame(rows, "report_id string, line_no long, day string")
+        frame.write.mode("append").partitionBy("report_id").parquet(landing)
+        ingest_available(spark, landing, target, str(tmp_path / "checkpoint"), convert, judge, outcomes)
+        return {r.report_id: (r.status, r.row_count, r.error) for r in reports.read_reports(spark, outcomes).collect()}
+
+    failed = ("failed", None, "no_valid_rows")
+    assert arrive(("good", 1, "a"), ("good", 2, "b"), ("empty", 1, None)) == {"good": ("ready", 2, None), "empty": failed}
+    assert arrive(("good", 3, "c")) == {"good": ("ready", 3, None), "empty": failed}
+    manifest = spark.createDataFrame(
+        [("good", "processing", False), ("empty", "ready", True), ("later", "processing", False)],
+        "report_id string, status string, stored boolean",
+    )
+    after = reports.record_outcomes(manifest, reports.read_reports(spark, outcomes))
+    assert {r.report_id: (r.status, r.stored, r.row_count, r.error) for r in after.collect()} == {
+        "good": ("ready", True, 3, None), "empty": ("failed", False, None, "no_valid_rows"),
+        "later": ("processing", False, None, None),
+    }
