@@ -15,7 +15,11 @@ digits, country codes; names follow the title's gender and the script.
 Collisions are checked over all documents: where two values of a kind got one
 surrogate, or a surrogate is itself a value, all but the smallest value take
 their next surrogate, until none collide. Those choices are few and go to the
-documents that hold such a value.
+documents that hold such a value. A value that still collides after `MOST_TRIES`
+of its own form, since that form has too few values, moves on to a longer form
+(32 characters more, or an IPv6 address), of which there are always enough. A
+secret without letters and digits (a mask, a line of signs) becomes 32 characters
+at once.
 
 Defined cases: a null text stays null, an empty one empty; a null doc_id and
 repeated rows are treated like any row; all other columns pass unchanged; an
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import stored
 
 KEY = "change this key for every corpus"
+# Surrogates of a value's own form; later ones have LONGER characters more.
 MOST_TRIES = 12
+LONGER = 32
 BROADCAST_ROWS = 10_000
 
 # Titles by gender, and parts of names by gender and script.
@@ -124,10 +130,23 @@ def _byte(code: Column, place: Column) -> Column:
 
 
 def _poured(raw: Column, code: Column, hexadecimal: Column, shift: int = 0) -> Column:
-    """The value with each letter and digit replaced by one of its class; the place among those decides, not punctuation."""
+    """The value with each letter and digit replaced by one of its class; the place among those decides, not punctuation.
+
+    Cyrillic letters stay Cyrillic, those of other scripts become Latin ones.
+    """
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    small, large = "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
     zero = F.struct(F.lit("").alias("out"), F.lit(shift).alias("n"))
 
+    def other(c: Column, own: Column) -> Column:
+        return (
+            F.when(c.rlike(r"\p{Nd}"), F.substr(F.lit(digit), own % 10 + 1, F.lit(1)))
+            .when(c.rlike(r"^(?=\p{IsCyrillic})\p{Lu}"), F.substr(F.lit(large), own % 32 + 1, F.lit(1)))
+            .when(c.rlike(r"^(?=\p{IsCyrillic})\p{L}"), F.substr(F.lit(small), own % 32 + 1, F.lit(1)))
+            .when(c.rlike(r"\p{Lu}"), F.substr(F.lit(upper), own % 26 + 1, F.lit(1)))
+            .when(c.rlike(r"\p{L}"), F.substr(F.lit(lower), own % 26 + 1, F.lit(1)))
+        )
+
     def pour(a: Column, c: Column) -> Column:
         own = _byte(code, a["n"]) + F.floor(a["n"] / 64).cast("int") * 7
         new = (
@@ -135,17 +154,23 @@ def _poured(raw: Column, code: Column, hexadecimal: Column, shift: int = 0) -> C
             .when(c.rlike("[0-9]"), F.substr(F.lit(digit), own % 10 + 1, F.lit(1)))
             .when(c.rlike("[a-z]"), F.substr(F.lit(lower), own % 26 + 1, F.lit(1)))
             .when(c.rlike("[A-Z]"), F.substr(F.lit(upper), own % 26 + 1, F.lit(1)))
+            .when(c.rlike(r"[^\x00-\x7F]"), other(c, own))
         )
         return F.struct(F.concat(a["out"], F.coalesce(new, c)).alias("out"), F.when(new.isNull(), a["n"]).otherwise(a["n"] + 1).alias("n"))
 
     return F.aggregate(F.filter(F.split(raw, ""), lambda c: c != ""), zero, pour)["out"]
 
 
+def _tail(code: Column, alphabet: str = "0123456789abcdef") -> Column:
+    """`LONGER` characters of 10 at least, for the longer forms."""
+    return F.translate(F.substr(code, F.lit(129 - LONGER), F.lit(LONGER)), "0123456789abcdef", alphabet)
+
+
 def _pick(choices: list[str], place: Column) -> Column:
     return F.get(F.array(*map(F.lit, choices)), place % len(choices))
 
 
-def _name(raw: Column, code: Column) -> Column:
+def _name(raw: Column, code: Column, longer: Column) -> Column:
     title = F.regexp_extract(raw, TITLE, 0)
     full = F.size(F.split(raw, " ")) > 2
     gender = F.when(raw.rlike(f"^(?:{MALE})\\b"), "m").when(raw.rlike(f"^(?:{FEMALE})\\b"), "f").otherwise(
@@ -155,6 +180,8 @@ def _name(raw: Column, code: Column) -> Column:
     def built(script: str) -> Column:
         given = F.when(gender == "m", _pick(GIVEN["m", script], _byte(code, F.lit(0)))).otherwise(_pick(GIVEN["f", script], _byte(code, F.lit(0))))
         family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _byte(code, F.lit(i))) for i in range(1, 6)]))
+        second = F.initcap(_tail(code, "aeiourstlnmdkbgv" if script == "latin" else "аеиоурстлнмдкбгв"))
+        family = F.concat(family, F.when(longer, F.concat(F.lit("-"), second)).otherwise(F.lit("")))
         return F.concat(title, F.when(full, F.concat(given, F.lit(" "))).otherwise(F.lit("")), family)
 
     return F.when(raw.rlike(r"\p{IsCyrillic}"), built("cyrillic")).otherwise(built("latin"))
@@ -164,26 +191,33 @@ def _code(key: str, kind: Column, canon: Column, tries: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, tries.cast("string")), 512)
 
 
-def _surrogate(key: str, kind: Column, raw: Column, canon: Column, code: Column) -> Column:
+def _surrogate(key: str, kind: Column, raw: Column, canon: Column, code: Column, tries: Column) -> Column:
     """What stands for an entity; a kind of null leaves it as it is."""
-    no = F.lit(False)
+    no, longer = F.lit(False), tries >= MOST_TRIES
+
+    def more(tail: Column) -> Column:
+        return F.when(longer, tail).otherwise(F.lit(""))
+
+    numbers = more(F.concat(F.lit("-"), _tail(code, "0123456789012345")))
     local, domain = F.substring_index(raw, "@", 1), F.lower(F.substring_index(raw, "@", -1))
     domain_code = _code(key, F.lit("domain"), domain, F.lit(0))
     labels = F.regexp_extract(domain, r"^(.*)\.[a-z]+$", 1)
-    email = F.concat(_poured(local, code, no), F.lit("@"), _poured(labels, domain_code, no), F.lit(".example"))
+    email = F.concat(_poured(local, code, no), more(_tail(code)), F.lit("@"), _poured(labels, domain_code, no), F.lit(".example"))
     secret = F.regexp_replace(raw, BEFORE_SECRET, "")
-    hidden = F.concat(F.regexp_extract(raw, BEFORE_SECRET, 0), _poured(secret, code, secret.rlike("^[0-9a-f]+$")))
+    secret = F.when(secret.rlike(r"[\p{L}\p{Nd}]"), F.concat(_poured(secret, code, secret.rlike("^[0-9a-f]+$")), more(_tail(code)))).otherwise(_tail(code))
+    hidden = F.concat(F.regexp_extract(raw, BEFORE_SECRET, 0), secret)
     octets = F.concat_ws(".", *[(_byte(code, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+    groups = F.concat_ws(":", F.lit("2001:db8"), *[F.substr(code, F.lit(4 * i + 1), F.lit(4)) for i in range(6)])
     country = F.regexp_extract(raw, r"^\+\d{1,3}(?=[ .(-])", 0)
-    phone = F.concat(country, _poured(F.substr(raw, F.length(country) + 1), code, no))
+    phone = F.concat(country, _poured(F.substr(raw, F.length(country) + 1), code, no), numbers)
     poured = _poured(raw, code, no)
-    bare = F.concat(F.substr(raw, F.lit(1), F.lit(1)), F.substr(poured, F.lit(2), F.length(raw) - 2))
+    bare = F.concat(F.substr(raw, F.lit(1), F.lit(1)), F.substr(poured, F.lit(2), F.length(raw) - 2), numbers)
     check = (10 - _luhn(_digits(bare), 0) % 10) % 10
     card = F.concat(bare, check.cast("string"))
-    access = F.concat(F.lit("AKIA"), _poured(F.substr(raw, F.lit(5)), code, no))
+    access = F.concat(F.lit("AKIA"), _poured(F.substr(raw, F.lit(5)), code, no), more(_tail(code, "0123456789ABCDEF")))
     return (
-        F.when(kind == "email", email).when(kind == "secret", hidden).when(kind == "ip", octets).when(kind == "phone", phone)
-        .when(kind == "social", poured).when(kind == "card", card).when(kind == "access", access).when(kind == "name", _name(raw, code))
+        F.when(kind == "email", email).when(kind == "secret", hidden).when(kind == "ip", F.when(longer, groups).otherwise(octets)).when(kind == "phone", phone)
+        .when(kind == "social", F.concat(poured, numbers)).when(kind == "card", card).when(kind == "access", access).when(kind == "name", _name(raw, code, longer))
         .otherwise(raw)
     )
 
@@ -204,10 +238,10 @@ def collisions(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, tries) of the entities that do not take their first surrogate."""
     values = entities.select("kind", F.col("canon").alias("shape"), F.lit(True).alias("is_value"))
     current = entities.select("kind", "canon", "raw", F.lit(0).alias("tries"))
-    for _ in range(MOST_TRIES):
+    while True:  # ends: from MOST_TRIES on, there are far more surrogates than values
         code = _code(key, F.col("kind"), F.col("canon"), F.col("tries"))
         new = current.withColumn("code", code)
-        new = new.withColumn("shape", _shape(F.col("kind"), _surrogate(key, F.col("kind"), F.col("raw"), F.col("canon"), F.col("code"))))
+        new = new.withColumn("shape", _shape(F.col("kind"), _surrogate(key, F.col("kind"), F.col("raw"), F.col("canon"), F.col("code"), F.col("tries"))))
         new = stored(new.select("kind", "canon", "raw", "tries", "shape"), "surrogates")
         first = new.groupBy("kind", "shape").agg(F.min(F.struct("tries", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
         first = first.join(values, ["kind", "shape"], "left").filter("n > 1 OR is_value")
@@ -218,7 +252,6 @@ def collisions(entities: DataFrame, key: str = KEY) -> DataFrame:
         current = new.join(clash.withColumn("clash", F.lit(True)), ["kind", "canon"], "left").select(
             "kind", "canon", "raw", F.when(F.col("clash"), F.col("tries") + 1).otherwise(F.col("tries")).alias("tries")
         )
-    raise RuntimeError("surrogates keep colliding; use longer forms")
 
 
 def _rewritten(text: Column, tries: Column, key: str) -> Column:
@@ -228,9 +261,9 @@ def _rewritten(text: Column, tries: Column, key: str) -> Column:
 
     coded = F.transform(
         _entities(text),
-        lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"), e["canon"].alias("canon"), _code(key, e["kind"], e["canon"], choice(e)).alias("code")),
+        lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"), e["canon"].alias("canon"), choice(e).alias("tries"), _code(key, e["kind"], e["canon"], choice(e)).alias("code")),
     )
-    placed = F.transform(coded, lambda e: F.struct(_surrogate(key, e["kind"], e["raw"], e["canon"], e["code"]).alias("new"), e["kind"].alias("kind")))
+    placed = F.transform(coded, lambda e: F.struct(_surrogate(key, e["kind"], e["raw"], e["canon"], e["code"], e["tries"]).alias("new"), e["kind"].alias("kind")))
     def joined(x: Column) -> Column:
         pieces = F.zip_with(F.slice(x["gaps"], 2, F.size(x["placed"])), x["placed"], lambda gap, e: F.concat(e["new"], gap))
         kinds = F.filter(F.transform(x["placed"], lambda e: e["kind"]), lambda k: k.isNotNull())
