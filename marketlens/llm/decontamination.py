@@ -12,10 +12,12 @@ The benchmark is indexed in blocks of at most `BLOCK_ITEMS` questions, each of a
 size a task holds easily; every block is joined with all documents.
 
 Defined cases: null and empty texts have no tokens and are never found; a
-question of fewer tokens than a window is one window of its own, if it has
-`LEAST_WORDS` words besides slots; windows with fewer are skipped; questions that
-repeat are found each; a null doc_id is carried, a null item_id too; repeated
-rows give repeated results; further columns are ignored.
+question of fewer tokens than a window is one window of its own; windows with
+fewer than `LEAST_WORDS` words besides slots, and all of a question of one window,
+are also found where their tokens, the values in the slots and the signs that
+stand alone between them are the same, so that every copy is found; questions
+that repeat are found each; a null doc_id is carried, a null item_id too;
+repeated rows give repeated results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ class Words(dict):
             kind = NAME
         else:
             kind = LITERAL
-        self.hashes.append(xxhash.xxh3_64_intdigest(plain.lower().encode("utf-8", "surrogatepass")))
+        self.hashes.append(xxhash.xxh3_64_intdigest((text if kind == NOTHING else plain.lower()).encode("utf-8", "surrogatepass")))
         self.kinds.append(kind)
         self.ends.append(kind == LINE or text.rstrip("\"')]").endswith((".", "!", "?", ":")))
         number = self[raw] = len(self)
@@ -86,8 +88,8 @@ class Words(dict):
 _words = Words()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, kinds and value hashes of a text's tokens."""
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, kinds and value hashes of a text's tokens, and hashes of the signs that stand alone before them."""
     global _words
     if len(_words) > CACHED_WORDS:
         _words = Words()
@@ -96,7 +98,7 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _typed(at)
 
 
-def _typed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _typed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     own, back = np.unique(at, return_inverse=True)
     value = np.fromiter((_words.hashes[i] for i in own), np.uint64, len(own))[back]
     kind = np.fromiter((_words.kinds[i] for i in own), np.int64, len(own))[back]
@@ -105,11 +107,13 @@ def _typed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts[1:] = ends[:-1]
     kind = np.where((kind == NAME) & starts, LITERAL, kind)
     full = kind < NOTHING
+    signs = np.cumsum(np.where(kind == NOTHING, value, np.uint64(0)), dtype=np.uint64)[full]
+    signs[1:] -= signs[:-1].copy()
     value, kind = value[full], kind[full]
     after_number = np.zeros(len(kind), bool)
     after_number[1:] = kind[:-1] == NUM
     kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
-    return np.where(kind == LITERAL, value, SLOT_HASHES[kind]), kind, value
+    return np.where(kind == LITERAL, value, SLOT_HASHES[kind]), kind, value, signs
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,24 +128,41 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarr
     return mixed(rolled), words[width:] - words[:-width] >= LEAST_WORDS
 
 
+def exact_windows(values: np.ndarray, signs: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows at some places, with the values in the slots and the signs inside."""
+    rolled = np.full(len(places), width, np.uint64)
+    for k in range(width):
+        rolled = rolled * FACTOR + values[places + k]
+        if k:
+            rolled += mixed(signs[places + k])
+    return mixed(rolled)
+
+
 class Index:
-    """Windows of a block of questions."""
+    """Windows of a block of questions: those with words enough by their template, others by their values."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items: list[tuple] = []
         found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        exact: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        firsts: dict[int, set[int]] = defaultdict(set)
         for item_id, text in items:
-            hashes, kinds, values = template(text)
+            hashes, kinds, values, signs = template(text)
             width = min(WINDOW, len(hashes))
-            rolled, enough = windows(hashes, kinds, width)
-            if not enough.any():
+            if not width:
                 continue
+            rolled, enough = windows(hashes, kinds, width)
             for i in np.flatnonzero(enough).tolist():
                 found[width][int(rolled[i])].append((len(self.items), i))
+            others = np.flatnonzero(~enough | (len(enough) == 1))
+            for i, own in zip(others.tolist(), exact_windows(values, signs, others, width).tolist(), strict=True):
+                exact[width][own].append((len(self.items), i))
+                firsts[width].add(int(values[i]))
             self.items.append((item_id, len(hashes), kinds, values))
         self.by_width = {w: (np.array(sorted(d), np.uint64), dict(d)) for w, d in found.items()}
+        self.exact = {w: (np.array(sorted(firsts[w]), np.uint64), dict(d)) for w, d in exact.items()}
 
-    def hits(self, hashes: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def hits(self, hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(question, its window, width, place in the document) of every shared window."""
         for width, (known, where) in self.by_width.items():
             rolled, enough = windows(hashes, kinds, width)
@@ -149,13 +170,19 @@ class Index:
             for place in np.flatnonzero((known[at] == rolled) & enough).tolist():
                 for item, window in where[int(rolled[place])]:
                     yield item, window, width, place
+        for width, (first, where) in self.exact.items():
+            begin = values[: max(0, len(values) - width + 1)]
+            places = np.flatnonzero(first[np.minimum(np.searchsorted(first, begin), len(first) - 1)] == begin)
+            for place, own in zip(places.tolist(), exact_windows(values, signs, places, width).tolist(), strict=True):
+                for item, window in where.get(own, ()):
+                    yield item, window, width, place
 
     def find(self, text: str | None) -> list[tuple]:
         """(item_id, windows, covered share, changed slots) of the questions a text holds."""
-        hashes, kinds, values = template(text)
-        lines: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item, window, width, place in self.hits(hashes, kinds):
-            lines[item][place - window].append((window, width))
+        hashes, kinds, values, signs = template(text)
+        lines: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+        for item, window, width, place in self.hits(hashes, kinds, values, signs):
+            lines[item][place - window].add((window, width))
         out = []
         for item, aligned in sorted(lines.items()):
             item_id, size, own_kinds, own_values = self.items[item]

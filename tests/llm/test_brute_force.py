@@ -310,3 +310,14 @@ def test_surrogates_of_every_kind_go_on(spark, monkeypatch):
     got = {r.doc_id: r for r in pii.replaced(frame(spark, "doc_id long, text string", *rows)).collect()}
     assert len({r.text for r in got.values()}) == len(rows) and all(r.n_replaced == 1 for r in got.values())
     assert not {r.text for r in got.values()} & {x for _, x in rows}
+
+
+def test_copies_of_questions_with_few_words(spark):
+    figures = "Sum the list: " + " ".join(str(7 * n) for n in range(30)) + " and give the result of it all."
+    benchmark = frame(spark, "item_id long, text string", (1, "What is 12 * 7?"), (2, figures), (3, "big red round apples"))
+    docs = frame(
+        spark, "doc_id long, text string", (1, "He wrote: What is 12 * 7? Nobody knew."), (2, "What is 12 - 7? What is 12 * 8?"),
+        (3, "Before it. " + figures + " After it."), (4, figures.replace("list: ", "list: 1 ").replace(" 2", " 3").replace(" 1", " 4").replace("5", "6")), (5, "he saw Big red round apples"), (6, None), (7, "* - 7"),
+    )
+    assert {(r.doc_id, r.item_id, r.changed_slots) for r in decontamination.contaminated(docs, benchmark).collect()} == {(1, 1, 0), (3, 2, 0), (5, 3, 0)}
+    assert {r.doc_id for r in decontamination.decontaminated(docs, benchmark).collect()} == {2, 4, 6, 7}
