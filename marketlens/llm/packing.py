@@ -4,7 +4,8 @@ Documents are tokenised, cut only where longer than a sequence, and packed by
 best fit, longest first. A local search then moves pieces between the underfull
 sequences of a group: it moves one piece, exchanges one for one, or two for
 one, whenever that raises the sum of squared fills, so that small fills shrink
-until a sequence is empty.
+until a sequence is empty. The emptiest sequences are tried among each other
+first, then every underfull one against all others that can take a piece of it.
 
 Groups hold about `GROUP_PIECES` pieces, dealt by a hash, so that each is a
 fair sample of all lengths; a group wastes less than about one sequence beyond
@@ -33,8 +34,10 @@ from marketlens.llm.tokens import VOCABULARY, encoder
 END_ID = 1
 SEQUENCE = 4096
 GROUP_PIECES = 20_000
-# Bins the local search looks at in a group at a time, the emptiest first.
+# Bins the local search first tries among each other, the emptiest; then it looks at all.
 SEARCHED_BINS = 48
+# Changed bins that are tried directly before the lists of partners are made anew.
+CHANGED_BINS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -108,13 +111,66 @@ def _improve(a: list[int], b: list[int], size: list[int], capacity: int) -> bool
     return True
 
 
+class Partners:
+    """Underfull bins by what they can give back for a piece: nothing, one of their pieces or two."""
+
+    def __init__(self, bins: list[list[int]], fill: list[int], order: list[int], size: list[int], capacity: int):
+        one, two = [], []
+        for n in order:
+            own = [size[i] for i in bins[n]]
+            one += [(0, n), *((s, n) for s in set(own))]
+            two += [(s, n) for s in {s + t for k, s in enumerate(own) for t in own[k + 1 :]}]
+        room = capacity - np.array(fill, np.int64)
+        self.most = int(room[order].max(initial=0))
+        self.lists = []
+        for entries in (one, two):
+            back, bin_ = np.array(sorted(entries), np.int64).reshape(-1, 2).T
+            self.lists.append((back, bin_, room[bin_]))
+
+    def of(self, source: list[int], size: list[int]) -> set[int]:
+        """Bins in which some piece, or two, of the source fit for what they give back."""
+        own = [size[i] for i in source]
+        out: set[int] = set()
+        for gives, lists in ((set(own), self.lists), ({s + t for k, s in enumerate(own) for t in own[k + 1 :]}, self.lists[:1])):
+            for give in gives:
+                for back, bin_, room in lists:
+                    lo, hi = np.searchsorted(back, (give - self.most, give))
+                    out.update(bin_[lo:hi][give - back[lo:hi] <= room[lo:hi]].tolist())
+        return out
+
+
+def _search_all(bins: list[list[int]], fill: list[int], order: list[int], size: list[int], capacity: int) -> bool:
+    """Each of the bins, from the emptiest, against all others; False if no step was found."""
+    partners, changed, moved = Partners(bins, fill, order, size, capacity), set(), False
+    live, total = len(order), sum(fill[n] for n in order)
+    for source in order:
+        again = True
+        while again and fill[source]:
+            again = False
+            if len(changed) > CHANGED_BINS:
+                partners, changed = Partners(bins, fill, [n for n in order if 0 < fill[n] < capacity], size, capacity), set()
+            found = (partners.of(bins[source], size) | changed) - {source}
+            for target in sorted(found, key=lambda n: (-fill[n], n)):
+                while 0 < fill[source] <= fill[target] and _improve(bins[target], bins[source], size, capacity):
+                    for n in (source, target):
+                        fill[n] = sum(size[i] for i in bins[n])
+                    changed |= {source, target}
+                    again = moved = True
+        if fill[source] == 0:
+            live -= 1
+            if total > (live - 1) * capacity:
+                break  # all of them cannot do with one fewer
+    return moved
+
+
 def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
     """Exchange pieces between underfull bins, from the emptiest, until no bin empties any more."""
     fill = [sum(size[i] for i in b) for b in bins]
     while True:
-        order = sorted((n for n, f in enumerate(fill) if 0 < f < capacity), key=lambda n: fill[n])[:SEARCHED_BINS]
-        if len(order) < 2 or sum(fill[n] for n in order) > (len(order) - 1) * capacity:
+        under = sorted((n for n, f in enumerate(fill) if 0 < f < capacity), key=lambda n: fill[n])
+        if len(under) < 2 or sum(fill[n] for n in under) > (len(under) - 1) * capacity:
             break  # these bins cannot do with one fewer
+        order = under[:SEARCHED_BINS]
         emptied = moved = False
         for source in order:
             for target in reversed(order):
@@ -124,7 +180,7 @@ def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[
             if fill[source] == 0:
                 emptied = True
                 break
-        if not (emptied or moved):
+        if not (emptied or moved or len(under) > SEARCHED_BINS and _search_all(bins, fill, under, size, capacity)):
             break
     return [b for b in bins if b]
 

@@ -321,3 +321,10 @@ def test_copies_of_questions_with_few_words(spark):
     )
     assert {(r.doc_id, r.item_id, r.changed_slots) for r in decontamination.contaminated(docs, benchmark).collect()} == {(1, 1, 0), (3, 2, 0), (5, 3, 0)}
     assert {r.doc_id for r in decontamination.decontaminated(docs, benchmark).collect()} == {2, 4, 6, 7}
+
+
+def test_local_search_reaches_all_underfull_bins():
+    size = np.random.default_rng(3).integers(1000, 2000, 1000).tolist()
+    bins = packing.pack(size, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(1000)) and all(sum(size[i] for i in b) <= 4096 for b in bins)
+    assert len(packing.best_fit(size, 4096)) >= 400 and len(bins) < 395  # 400 when only the 48 emptiest bins are looked at
