@@ -37,6 +37,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -284,7 +285,7 @@ def decimal_digits(size: int) -> tuple[np.ndarray, np.ndarray]:
 def text_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded rows and bytes of text."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         before = np.cumsum(sizes, dtype=np.int64) - sizes
         at = 0
         while at < batch.num_rows:
