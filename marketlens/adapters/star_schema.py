@@ -181,6 +181,26 @@ class Star:
     def stored_manifest(self, root: str) -> DataFrame:
         return self.spark.read.parquet(f"{root}/manifest")
 
+    # -- uploads --------------------------------------------------------------
+
+    def upload(self, root: str, batch: int, order_sheets: DataFrame) -> None:
+        """Write the sheets of a batch as files below `root`: one per report, in file order, with its own headers."""
+        sheets = {
+            "orders": lambda: order_sheets, "combo": self.raw_combo, "master": self.raw_master,
+            "cashflow": self.raw_cashflow, "adjustments": self.raw_adjustments,
+        }
+        for kind, layouts in upload_layouts().items():
+            for number, (own, fmt, reports, headers) in enumerate(layouts):
+                if own != batch:
+                    continue
+                cells = [F.col(f"`{column}`").alias(header) for header, column in headers.items()]
+                notes = [note(F.col("line_no")).alias(NOTE)] if fmt == "csv" else []
+                rows = sheets[kind]().filter(F.col("report_id").isin(reports))
+                rows = rows.repartition("report_id").sortWithinPartitions("report_id", "line_no")
+                rows = rows.select("report_id", *cells[:1], *notes, *cells[1:])
+                options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+                rows.write.options(**(options if fmt == "csv" else {})).partitionBy("report_id").format(fmt).save(f"{root}/{kind}/{number}")
+
     # -- raw sheets -----------------------------------------------------------
 
     def raw_orders(self) -> DataFrame:
@@ -290,6 +310,51 @@ class Star:
         )
 
 
+def note(line_no: Column) -> Column:
+    text = F.concat(F.lit("giao 2, 'gấp'\nhộp 5\" x 7\", "), line_no, F.lit("\n\n"))
+    return F.when(line_no % 3 == 0, text).when(line_no % 3 == 1, F.lit('"')).otherwise(F.lit(", ,"))
+
+
+def upload_layouts() -> dict[str, list[tuple[int, str, list[str], dict[str, str]]]]:
+    """How sheets are uploaded: per kind (batch, format, reports, headers in file order with their column).
+
+    The second batch brings other headers, or the same ones in another order.
+    """
+    def same(headers):
+        return {h: h for h in headers}
+
+    def renamed(headers, **names):
+        names = {k.replace("_", " "): v for k, v in names.items()}
+        return {names.get(h, h): h for h in headers}
+
+    master = ["SKU", "SKU phân loại", "Mục", "Phân loại SP", "Phân loại kho ONL", "Gía vốn"]
+    fees = ["Mã giao dịch", "Mã đơn hàng", "Phí hoa hồng Tiếp thị liên kết"]
+    return {
+        "orders": [
+            (1, "csv", ["R1995"], same(OLD_LAYOUT)), (1, "csv", ["R1996"], same(FULL_LAYOUT)),
+            (1, "json", ["R1997"], same(OTHER_NAMES_LAYOUT)), (2, "csv", ["R1998"], same(FULL_LAYOUT[::-1])),
+            (2, "csv", ["R1999"], same(OTHER_NAMES_LAYOUT)), (2, "parquet", ["R2000"], same(FULL_LAYOUT)),
+            (2, "csv", ["R2001"], same(NO_DATE_LAYOUT)),
+        ],
+        "combo": [
+            (1, "csv", ["K0", "K1"], same(COMBO_LAYOUT)),
+            (2, "csv", ["K2", "K3"], renamed(COMBO_LAYOUT[::-1], SKU1="SKU1 (chính)", SKU_COMBO="Mã SKU Combo")),
+            (2, "json", ["K4"], same([h for h in COMBO_LAYOUT if not h.startswith("Tỉ lệ")])),
+        ],
+        "master": [
+            (1, "csv", ["M0"], same(master)), (2, "csv", ["M1"], renamed(master[::-1], Mục="Mục hàng")),
+            (2, "parquet", ["M2"], renamed(master, Gía_vốn="Giá vốn")),
+        ],
+        "cashflow": [
+            (1, "csv", ["F0", "F1"], same(fees)), (1, "json", ["F2"], same(fees)),
+            (2, "csv", ["F3"], renamed(fees[::-1], Mã_đơn_hàng="Mã đơn hàng gốc")),
+        ],
+        "adjustments": [
+            (1, "csv", ["A0", "A1"], same(ADJUSTMENT_LAYOUT)), (2, "csv", ["A2", "A3"], same(ADJUSTMENT_LAYOUT[::-1])),
+        ],
+    }
+
+
 def _variant(part: Column) -> Column:
     return F.concat(F.lit("P"), part, F.lit("-"), F.col("l_suppkey"))
 
@@ -387,6 +452,14 @@ COMBO_LAYOUT = [
 ]
 
 
+ADJUSTMENT_LAYOUT = [
+    "Mã giao dịch", "Ngày hoàn thành điều chỉnh đơn hàng", "Loại điều chỉnh | Mô tả", "Lý do điều chỉnh",
+    "Số tiền điều chỉnh", "Mã đơn hàng liên quan", "Ngày hoàn thành thanh toán",
+]
+# A column that serves no field, with all that makes CSV hard to cut.
+NOTE = "Ghi chú"
+
+
 def grouped_digits(n: Column) -> Column:
     """Whole number with dots between thousands."""
     return F.translate(F.format_number(n, 0), ",", ".")

@@ -6,20 +6,22 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens import schemas as S
 from marketlens.adapters import star_schema as A
 from marketlens.functions import dates, money, numbers, text
-from marketlens.operators import convert, enrich, mapping, metrics, paging
+from marketlens.operators import convert, enrich, intake, mapping, metrics, paging
 from marketlens.operators.filters import Filters
 from marketlens.plans.dashboard import Dashboard
 from marketlens.session import tune
 from marketlens.sources import reports, sheets
 from marketlens.sources.storage import work_dir
+from marketlens.sources.store import ReportStore
 from marketlens.streaming.ingest import ingest_available
+from marketlens.streaming.uploads import ingest_uploads, take_in, upload_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -346,6 +348,92 @@ def ingest_outcomes(star):
     return after.select("report_id", "name", "status", "stored", "row_count", "error")
 
 
+def report_store(star: A.Star) -> ReportStore:
+    """Sheets of all kinds uploaded in two batches, the second one with new layouts, each taken in by the stream."""
+    def build(root):
+        uploads = f"{root}/uploads"
+        for batch in (1, 2):
+            star.upload(uploads, batch, order_sheets(star))
+            ingest_uploads(star.spark, uploads, ReportStore(star.spark, f"{root}/store"), f"{root}/checkpoint")
+
+    return ReportStore(star.spark, f"{written(star, 'uploaded', build)}/store")
+
+
+def uploaded_for() -> Column:
+    """The report a file was uploaded for: a folder of its path."""
+    return F.regexp_extract("report_id", "report_id=([^/]+)", 1).alias("report_id")
+
+
+@query
+def uploaded_reports(star):
+    """Outcome of every uploaded report of every kind, with the headers found in it and the mapping used."""
+    pairs = F.transform(F.array_sort(F.map_entries("mapping")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return report_store(star).entries().select(
+        "kind", uploaded_for(), "status", "row_count", "error", F.array_join("headers", "|").alias("headers"), F.array_join(pairs, "|").alias("mapping")
+    )
+
+
+@query
+def uploaded_orders(star):
+    """Order lines converted from CSV, JSON and Parquet uploads."""
+    return report_store(star).table("orders").select(uploaded_for(), *S.ORDERS_SCHEMA.names[2:])
+
+
+@query
+def uploaded_combo(star):
+    return report_store(star).table("combo").withColumn("report_id", uploaded_for())
+
+
+@query
+def uploaded_master(star):
+    return report_store(star).table("master").withColumn("report_id", uploaded_for())
+
+
+@query
+def uploaded_cashflow(star):
+    return report_store(star).table("cashflow").withColumn("report_id", uploaded_for())
+
+
+@query
+def uploaded_adjustments(star):
+    return report_store(star).table("adjustments").select(uploaded_for(), *S.ADJUSTMENT_SCHEMA.names[2:])
+
+
+@query
+def uploaded_kpis(star):
+    """KPIs over all that was uploaded: orders with combos, fees and costs."""
+    return Dashboard.of_store(report_store(star)).kpis()
+
+
+@query
+def uploaded_groups(star):
+    """Grouped detail over all that was uploaded."""
+    return Dashboard.of_store(report_store(star)).grouped("warehouse_type")
+
+
+# A mapping given for a report: these fields and no others.
+GIVEN = {
+    "order_ts": "Ngày đặt hàng", "order_id": "Mã đơn hàng", "product": "SKU phân loại hàng", "sku_variant": "SKU phân loại hàng",
+    "qty": "Số lượng", "list_price": "Giá gốc", "revenue": "Số tiền người mua thanh toán", "category": " ",
+    "raw_status": "Trạng Thái Đơn Hàng",
+}
+
+
+@query
+def reconverted_orders(star):
+    """Lines stored after two reports were converted again by a given mapping, and one was removed."""
+    uploads = report_store(star).root.removesuffix("store") + "uploads"
+    store = ReportStore(star.spark, f"{work_dir(star.spark)}/reconverted-{uuid.uuid4().hex}")
+    files = upload_names(star.spark, f"{uploads}/orders")
+    take_in(store, uploads, files)
+    sheet, headers = sheets.read_sheets(star.spark, uploads, "csv", [f for f in files if f.endswith(".csv")])
+    named = headers.filter(uploaded_for().isin("R1996", "R1998")).select("report_id").distinct()
+    given = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(h).alias("header")) for f, h in GIVEN.items()]))
+    intake.reconvert(store, "orders", sheet, headers, named.select("report_id", given))
+    store.remove(store.entries().filter(uploaded_for() == "R1999"))
+    return store.table("orders").select(uploaded_for(), *S.ORDERS_SCHEMA.names[2:])
+
+
 # ---------------------------------------------------------------------------
 # Row derivations
 # ---------------------------------------------------------------------------

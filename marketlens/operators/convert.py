@@ -19,6 +19,8 @@ from marketlens.operators import skew
 from marketlens.operators.mapping import mapping_errors
 
 SHEET_META = ["report_id", "line_no"]
+# Column of sheets that bring their cells by position.
+CELLS = "cells"
 
 
 _FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
@@ -29,10 +31,18 @@ class MappedSheet:
 
     Which headers serve a field is known once the mapping is (a handful of
     pairs, at most fields x columns), so a field is a choice between those
-    columns only, and the scan reads no others.
+    columns only, and the scan reads no others. A sheet of cells by position
+    needs no columns: a report's mapping names the places in its own `headers`.
     """
 
-    def __init__(self, sheet: DataFrame, mapping: DataFrame, fields: list[str]):
+    def __init__(self, sheet: DataFrame, mapping: DataFrame, fields: list[str], headers: DataFrame | None = None):
+        if CELLS in sheet.columns:
+            places = _places(mapping, headers, fields)
+            joined = skew.lookup_join(sheet, places, ["report_id"], "inner")
+            texts = [F.get(F.col(CELLS), F.col(f"_at_{f}")).alias(f"_text_{f}") for f in fields]
+            self._cells = {f"_text_{f}" for f in fields}
+            self.rows = joined.select(*SHEET_META, *[f"_at_{f}" for f in fields], *texts)
+            return
         types = {f.name: f.dataType for f in sheet.schema.fields}
         pairs = mapping.select("field", "header").distinct().collect()
         served = {f: sorted(h for field, h in pairs if field == f and h in types) for f in fields}
@@ -84,6 +94,13 @@ _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _SEPARATOR = "\x1f"
 
 
+def _places(mapping: DataFrame, headers: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per report: for every field, where the header serving it stands in the report."""
+    placed = mapping.join(headers.groupBy("report_id", "header").agg(F.min("header_pos").alias("place")), ["report_id", "header"])
+    chosen = [F.expr(f"max(CASE WHEN field = '{f}' THEN place END) AS _at_{f}") for f in fields]
+    return placed.groupBy("report_id").agg(*chosen)
+
+
 def _positions(mapping: DataFrame, served: dict[str, list[str]]) -> DataFrame:
     """One row per report: for every field, which of the headers serving it the report uses."""
     places = [(f + _SEPARATOR + h, n) for f, headers in served.items() for n, h in enumerate(headers)]
@@ -124,12 +141,12 @@ def _text_choice(field: str, headers: list[str], fractional: list[bool]) -> str
 # ---------------------------------------------------------------------------
 
 
-def typed_order_lines(sheet: DataFrame, mapping: DataFrame) -> DataFrame:
+def typed_order_lines(sheet: DataFrame, mapping: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Cleaned cells of every raw order line, dated or not, one column per field.
 
     `price`, `revenue` and `buyer_paid` are NULL where their column is not mapped.
     """
-    m = MappedSheet(sheet, mapping, list(S.ORDER_KEYWORDS))
+    m = MappedSheet(sheet, mapping, list(S.ORDER_KEYWORDS), headers)
     paid = F.when(m.mapped("order_id"), m.number("buyer_paid"))
     return m.rows.select(
         *SHEET_META,
@@ -236,7 +253,7 @@ def usable_mapping(headers: DataFrame, mapping: DataFrame, kind: str) -> DataFra
 
 def convert_orders(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Stored order table of every report that can be converted."""
-    return derive_orders(typed_order_lines(sheet, usable_mapping(headers, mapping, "orders")))
+    return derive_orders(typed_order_lines(sheet, usable_mapping(headers, mapping, "orders"), headers))
 
 
 # ---------------------------------------------------------------------------
@@ -246,7 +263,7 @@ def convert_orders(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) ->
 
 def convert_combo(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row per filled sub SKU slot (1 to 3) of every combo line."""
-    m = MappedSheet(sheet, usable_mapping(headers, mapping, "combo"), list(S.COMBO_KEYWORDS))
+    m = MappedSheet(sheet, usable_mapping(headers, mapping, "combo"), list(S.COMBO_KEYWORDS), headers)
     slots = F.array(
         *[
             F.struct(
@@ -264,7 +281,7 @@ def convert_combo(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) -> D
 
 
 def convert_master(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
-    m = MappedSheet(sheet, usable_mapping(headers, mapping, "master"), list(S.MASTER_KEYWORDS))
+    m = MappedSheet(sheet, usable_mapping(headers, mapping, "master"), list(S.MASTER_KEYWORDS), headers)
     labels = ["sku", "item_group", "product_type", "warehouse_type"]
     return m.rows.select(
         "report_id", *[m.text(f).alias(f) for f in labels], m.number_or_zero("unit_cost").alias("unit_cost")
@@ -273,7 +290,7 @@ def convert_master(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) ->
 
 def convert_cashflow(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Affiliate fee per order with its sign turned: sheets hold it as a negative amount."""
-    m = MappedSheet(sheet, usable_mapping(headers, mapping, "cashflow"), list(S.CASHFLOW_KEYWORDS))
+    m = MappedSheet(sheet, usable_mapping(headers, mapping, "cashflow"), list(S.CASHFLOW_KEYWORDS), headers)
     return m.rows.select(
         "report_id", m.text("order_id").alias("order_id"), (-m.number_or_zero("aff_fee")).alias("aff_fee")
     ).filter(F.col("order_id") != "")
@@ -281,7 +298,7 @@ def convert_cashflow(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) -
 
 def convert_adjustments(sheet: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Adjustment lines as text (dates too), the amount as a number."""
-    m = MappedSheet(sheet, usable_mapping(headers, mapping, "adjustments"), list(S.ADJUSTMENT_KEYWORDS))
+    m = MappedSheet(sheet, usable_mapping(headers, mapping, "adjustments"), list(S.ADJUSTMENT_KEYWORDS), headers)
     texts = [f for f in S.ADJUSTMENT_KEYWORDS if f != "amount"]
     return m.rows.select(
         *SHEET_META, *[m.text(f).alias(f) for f in texts], m.number_or_zero("amount").alias("amount")

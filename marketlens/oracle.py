@@ -409,6 +409,63 @@ SELECT 'A' || year(l_shipdate) % 4 AS report_id, {LINE_NO} AS line_no, 'T' || ({
   {money('-floor(l_extendedprice * 10)')} AS amount
 FROM lineitem WHERE l_returnflag = 'R'"""
 ORACLE["convert_adjustments"] = f"{_ADJUSTMENT} AND l_orderkey % 59 <> 0"
+
+
+def uploaded_headers(kind: str) -> str:
+    """`report_id, header_pos, header` of the uploaded files; JSON columns come sorted, CSV files have a note more."""
+    rows = []
+    for _, fmt, reports, layout in A.upload_layouts()[kind]:
+        listed = {"csv": [*list(layout)[:1], A.NOTE, *list(layout)[1:]], "json": sorted(layout), "parquet": list(layout)}[fmt]
+        rows += [f"({lit(r)}, {n}, {lit(h)})" for r in reports for n, h in enumerate(listed)]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") h(report_id, header_pos, header)"
+
+
+def uploaded_outcomes(kind: str, keywords, penalised, first_match: bool) -> str:
+    parts = scored(uploaded_headers(kind), keywords, penalised)
+    if first_match:
+        parts["mapped"] = _COMBOS["mapped"]
+    return sql(
+        f"""SELECT {lit(kind)} AS kind, h.report_id, n, headers, mapping FROM
+          (SELECT report_id, string_agg(header, '|' ORDER BY header_pos) AS headers FROM headers GROUP BY report_id) h
+          JOIN (SELECT report_id, string_agg(field || '=' || header, '|' ORDER BY field) AS mapping FROM mapped GROUP BY report_id) m
+            ON h.report_id = m.report_id
+          LEFT JOIN (SELECT report_id, count(*) AS n FROM ({ORACLE['convert_' + kind]}) GROUP BY report_id) c ON h.report_id = c.report_id""",
+        extra=parts,
+    )
+
+
+ORACLE["uploaded_reports"] = """
+SELECT kind, report_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'ready' END AS status, n AS row_count,
+  CASE WHEN n IS NULL THEN 'no_date_column' END AS error, headers, mapping
+FROM (""" + " UNION ALL ".join(
+    f"SELECT * FROM ({uploaded_outcomes(kind, words, penalised, first)})"
+    for kind, words, penalised, first in (
+        ("orders", S.ORDER_KEYWORDS, S.NAME_LIKE_FIELDS, False), ("combo", S.COMBO_KEYWORDS, [], True),
+        ("master", S.MASTER_KEYWORDS, [], False), ("cashflow", S.CASHFLOW_KEYWORDS, [], True),
+        ("adjustments", S.ADJUSTMENT_KEYWORDS, [], False),
+    )
+) + ")"
+for _kind in ("combo", "master", "cashflow"):
+    ORACLE[f"uploaded_{_kind}"] = ORACLE[f"convert_{_kind}"]
+ORACLE["uploaded_orders"] = f"SELECT * EXCLUDE (line_no) FROM ({_CONVERTED})"
+ORACLE["uploaded_adjustments"] = f"SELECT * EXCLUDE (line_no) FROM ({ORACLE['convert_adjustments']})"
+_STORED_ORDER = [c for c in S.ORDERS_SCHEMA.names if c != "line_no"]
+ORACLE["reconverted_orders"] = sql(
+    f"""SELECT {shown(*_STORED_ORDER)} FROM converted WHERE report_id NOT IN ('R1996', 'R1998', 'R1999')
+    UNION ALL SELECT {shown(*_STORED_ORDER)} FROM given""",
+    "star",
+    extra={
+        **_RAW,
+        "given": f"""SELECT report_id, o_orderdate AS order_ts, order_id, 'P' || l_partkey || '-' || l_suppkey AS sku_variant,
+            'P' || l_partkey || '-' || l_suppkey AS product, {lit(S.UNKNOWN)} AS category, {lit(S.UNKNOWN)} AS customer,
+            {STATUS} AS raw_status, CASE WHEN l_returnflag = 'A' THEN {lit(S.STATE_CANCELLED_BEFORE)}
+              WHEN o_orderstatus = 'F' THEN {lit(S.STATE_COMPLETED)} ELSE {lit(S.STATE_DELIVERING)} END AS line_state,
+            l_quantity AS qty, 0 AS returned_qty, l_quantity AS net_qty, 0 AS price, list_price, paid AS revenue,
+            list_price * l_quantity AS gross_sales, 0 AS discount, 0 AS voucher, 0 AS platform_fee,
+            CASE WHEN line_no = first_line THEN {S.SHIP_FEE_PER_ORDER}::DOUBLE ELSE 0 END AS ship_fee, 0 AS paid_ratio
+          FROM priced WHERE y IN (1996, 1998) AND NOT {BAD_DATE}""",
+    },
+)
 ORACLE["ready_reports"] = sql(
     f"""SELECT report_id, count(*) AS lines, {money('sum(gross_sales)')} AS gross_sales FROM ord
     WHERE report_id IN (SELECT report_id FROM reports WHERE status = 'ready' AND y <> 1998) GROUP BY report_id""",
@@ -595,6 +652,22 @@ def totals(columns) -> str:
 
 ORACLE["kpi_totals"] = sql(f"SELECT {totals(_TOTALS)} FROM enr", "enr")
 ORACLE["kpi_derived"] = sql(f"SELECT {totals(_TOTALS | _DERIVED)} FROM enr", "enr")
+# The same over the uploads: every sheet counts, amounts are those of the sheets.
+_UPLOADED = {
+    **_RAW,
+    "ready": "SELECT * FROM converted",
+    "ready_combo": """SELECT combo_sku, sub_sku, slot, CASE WHEN s % 5 = 4 THEN 0 ELSE ratio END AS ratio
+      FROM combo JOIN variants ON combo_sku = 'P' || p || '-' || s WHERE p % 90 <> 0""",
+    "fees": "SELECT o_orderkey::VARCHAR AS order_id, floor(o_totalprice * 2) AS order_aff_fee FROM orders WHERE o_orderkey % 3 <> 0",
+    "master": """SELECT 'P' || p_partkey AS sku, p_brand AS item_group, p_type AS product_type,
+      'Kho ' || (p_size % 4) AS warehouse_type, p_retailprice AS unit_cost FROM part WHERE p_partkey % 50 <> 3""",
+    "reports": "SELECT '' AS report_id, '' AS sales_channel",
+    "enr": TABLES["enr"],
+}
+ORACLE["uploaded_groups"] = sql(
+    f"SELECT warehouse_type AS group_value, {group_sums()} FROM enr GROUP BY warehouse_type", "star", "variants", "combo", extra=_UPLOADED
+)
+ORACLE["uploaded_kpis"] = sql(f"SELECT {totals(_TOTALS | _DERIVED)} FROM enr", "star", "variants", "combo", extra=_UPLOADED)
 
 
 def timeline(where="TRUE") -> str:

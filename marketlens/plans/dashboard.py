@@ -11,6 +11,7 @@ from marketlens import schemas as S
 from marketlens.operators import grouping, metrics, paging
 from marketlens.operators.enrich import Sources, enrich
 from marketlens.operators.filters import Filters
+from marketlens.sources.store import ReportStore
 
 _NO_FILTERS = Filters()
 
@@ -22,6 +23,12 @@ class Dashboard:
         """With a manifest only ready reports count, of every kind."""
         self.sources = sources if manifest is None else sources.ready(manifest)
 
+    @classmethod
+    def of_store(cls, store: ReportStore, channels: DataFrame | None = None) -> Dashboard:
+        """Over the ready reports of a store, all of one snapshot."""
+        at = store.snapshot()
+        return cls(Sources(*[store.table(kind, at) for kind in ("orders", "combo", "cashflow", "master")], channels))
+
     def lines(self, filters: Filters = _NO_FILTERS, columns: list[str] | None = None) -> DataFrame:
         """Enriched lines under the filters."""
         columns = columns or S.DETAIL_COLUMNS

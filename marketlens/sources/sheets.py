@@ -4,76 +4,33 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.functions.text import trim_text
+from marketlens.sources.csv_records import read_records
+from marketlens.sources.files import file_line_no, file_report_id
 
 
-def file_line_no() -> Column:
-    """A number that grows with the line's place in its file, for any split of the file.
+def read_sheets(
+    spark: SparkSession, path: str, fmt: str = "parquet", files: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """All uploaded sheets below `path`, or some `files` of them, one file per report, as (sheet, headers).
 
-    Upper bits: where the split starts, in 16 bytes; lower 30 bits: the row
-    within the task, which reads a split from its start.
-    """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 30) - 1))
-    start = F.shiftright(F.col("_metadata.file_block_start"), 4)
-    return F.shiftleft(start, 30).bitwiseOR(row)
-
-
-def file_report_id(root: str) -> Column:
-    """Report id: the path below the upload folder without its last extension, as it was written."""
-    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    below = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
-    own = F.when(place.contains(below), F.substring_index(place, below, -1)).otherwise(F.substring_index(place, "/", -1))
-    return F.regexp_replace(own, r"(?<=[^/])\.[^./]*$", "")
-
-
-def read_sheets(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """All uploaded sheets below `path`, one file per report, as (sheet, headers).
-
-    CSV files bring a header line each, whatever the others look like. JSON and
-    Parquet files share the columns of all; a report has those it fills.
+    CSV files bring a header line each, whatever the others look like; their
+    cells come by position, in one array. JSON and Parquet files share the
+    columns of all; a report has those it fills.
     """
     if fmt == "csv":
-        return _read_csv_sheets(spark, path)
+        return read_records(spark, path, files=files)
     reader = spark.read.option("recursiveFileLookup", True)
     if fmt == "parquet":
         reader = reader.option("mergeSchema", True)
-    raw = reader.format(fmt).load(path)
+    raw = reader.format(fmt).load(files or path)
     sheet = raw.select(file_report_id(path).alias("report_id"), file_line_no().alias("line_no"), "*")
     return clean_sheet(sheet), filled_headers(sheet)
 
 
-def _read_csv_sheets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Cells are read by position once, and found by the header line of their own file."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    width = reader.text(path).agg(F.max(commas)).first()[0]  # no line has more cells than this and one
-    schema = ", ".join(f"c{n} string" for n in range((width or 0) + 1))
-    raw = reader.schema(schema).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
-    cells = raw.select(
-        file_report_id(path).alias("report_id"), file_line_no().alias("line_no"), F.array(*raw.columns).alias("cells")
-    )
-    first = cells.groupBy("report_id").agg(F.min("line_no").alias("top"), F.min_by("cells", "line_no").alias("names"))
-    named = first.select("report_id", F.posexplode("names").alias("header_pos", "header"))
-    named = named.withColumn("header", trim_text(F.coalesce("header", F.lit("")))).filter("header <> ''")
-    named = named.groupBy("report_id", "header").agg(F.min("header_pos").alias("header_pos"))
-    headers = named.select("report_id", "header_pos", "header")
-    places = headers.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "header_pos"))).alias("at"))
-    body = cells.join(places.join(first.select("report_id", "top"), "report_id"), "report_id").filter("line_no > top")
-    # One column per header in use; those a query does not ask for are not computed.
-    names = sorted(r.header for r in headers.select("header").distinct().collect())
-    columns = [_cell(n).alias(n) for n in names]
-    return body.select("report_id", "line_no", *columns), headers
-
-
-def _cell(header: str) -> Column:
-    place = F.try_element_at("at", F.lit(header))
-    return F.when(place.isNotNull(), F.coalesce(F.get("cells", place), F.lit("")))
-
-
 def clean_sheet(raw: DataFrame) -> DataFrame:
     """Trim header names; blank cells of text columns become ''. Number and date cells keep their type."""
     def cell(field):

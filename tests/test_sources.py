@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import by, frame
 from marketlens.operators import convert, mapping
-from marketlens.sources import reports, sheets
+from marketlens.sources import files, reports, sheets
 from marketlens.streaming.ingest import ingest_available
 
 
@@ -25,10 +25,10 @@ def test_csv_reports_with_different_headers(spark, tmp_path):
     got, headers = converted(spark, str(tmp_path / "in"), "csv")
     rows = sorted((r.report_id, str(r.order_ts.date()), r.revenue, r.ship_fee) for r in got.collect())
     assert rows == [
-        ("R1", "2026-01-01", 10, 1620), ("R1", "2026-01-02", 0, 0), ("R2", "2026-01-03", 3000, 1620),
-        ("R3", "2026-01-05", 7, 1620),
+        ("R1.csv", "2026-01-01", 10, 1620), ("R1.csv", "2026-01-02", 0, 0), ("R2.csv", "2026-01-03", 3000, 1620),
+        ("R3.csv", "2026-01-05", 7, 1620),
     ]
-    listed = mapping.header_listing(headers, "R1").collect()
+    listed = mapping.header_listing(headers, "R1.csv").collect()
     assert [r.header for r in listed] == ["Mã đơn hàng", "Ngày", "Doanh thu"]
 
 
@@ -44,7 +44,7 @@ def test_line_numbers_follow_the_file(spark, tmp_path):
     write(tmp_path / "in", "big.txt", body)
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
     try:
-        rows = spark.read.text(str(tmp_path / "in")).select(sheets.file_line_no().alias("n"), "value")
+        rows = spark.read.text(str(tmp_path / "in")).select(files.file_line_no().alias("n"), "value")
         assert rows.rdd.getNumPartitions() > 3
         values = [int(r.value.split()[1]) for r in rows.orderBy("n").collect()]
     finally:
@@ -140,7 +140,7 @@ def test_reports_are_told_apart_by_their_whole_path(spark, tmp_path):
     write(tmp_path / "in" / "b", "orders.2026.01.csv", text.format(4))
     got, _ = converted(spark, str(tmp_path / "in"), "csv")
     assert {r.report_id: r.order_ts.day for r in got.collect()} == {
-        "orders.2026.01": 1, "orders.2026.02": 2, "don hang 7+%": 3, "b/orders.2026.01": 4,
+        "orders.2026.01.csv": 1, "orders.2026.02.csv": 2, "don hang 7+%.csv": 3, "b/orders.2026.01.csv": 4,
     }
 
 
@@ -148,8 +148,8 @@ def test_cells_may_hold_line_breaks_and_files_other_widths(spark, tmp_path):
     write(tmp_path / "in", "R1.csv", 'Ngày,Sản phẩm,Doanh thu\n2026-04-01,"hai\ndòng, một ô",4\n')
     write(tmp_path / "in", "R2.csv", "a,b,c,d,Doanh thu,Ngày\n1,2,3,4,9,2026-04-02\n")
     got, _ = converted(spark, str(tmp_path / "in"), "csv")
-    assert {(r.report_id, r.product, r.revenue) for r in got.collect()} >= {("R1", "hai\ndòng, một ô", 4.0)}
-    assert {r.report_id: r.revenue for r in got.collect()} == {"R1": 4, "R2": 9}
+    assert {(r.report_id, r.product, r.revenue) for r in got.collect()} >= {("R1.csv", "hai\ndòng, một ô", 4.0)}
+    assert {r.report_id: r.revenue for r in got.collect()} == {"R1.csv": 4, "R2.csv": 9}
 
 
 def test_numeric_ids_stay_plain_digits(spark, tmp_path):
