@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schemas as S
 from marketlens.operators.convert import ORDER_FACT_INPUTS, derive_orders
-from marketlens.operators.enrich import Sources
+from marketlens.operators.enrich import Sources, order_keys
 from marketlens.sources.reports import read_reports, report_channels, write_reports
 from marketlens.sources.sheets import headers_of
 
@@ -164,19 +164,21 @@ class Star:
 
     def store(self, root: str) -> None:
         """Write the converted tables below `root`, as an upload of all reports would."""
-        write_reports(self.orders(), f"{root}/orders")
-        for kind in ("combo", "cashflow", "master"):
-            getattr(self, kind)().write.parquet(f"{root}/{kind}")
+        for kind in ("orders", "combo", "cashflow", "master"):
+            write_reports(getattr(self, kind)(), f"{root}/{kind}")
+        order_keys(read_reports(self.spark, f"{root}/orders", S.ORDERS_SCHEMA)).coalesce(1).write.parquet(f"{root}/order_keys")
         self.manifest().coalesce(1).write.parquet(f"{root}/manifest")
 
     def stored(self, root: str) -> Sources:
         """Sources over tables written by `store`."""
-        def read(kind):
-            return self.spark.read.parquet(f"{root}/{kind}")
+        def read(kind, schema):
+            return read_reports(self.spark, f"{root}/{kind}", schema)
 
-        orders = read_reports(self.spark, f"{root}/orders", S.ORDERS_SCHEMA)
         channels = report_channels(self.stored_manifest(root), self.channels())
-        return Sources(orders, read("combo"), read("cashflow"), read("master"), channels)
+        return Sources(
+            read("orders", S.ORDERS_SCHEMA), read("combo", S.COMBO_SCHEMA), read("cashflow", S.CASHFLOW_SCHEMA),
+            read("master", S.MASTER_SCHEMA), channels, self.spark.read.parquet(f"{root}/order_keys"),
+        )
 
     def stored_manifest(self, root: str) -> DataFrame:
         return self.spark.read.parquet(f"{root}/manifest")

@@ -75,10 +75,15 @@ def written(star: A.Star, what: str, write: Callable[[str], None]) -> str:
     return _written[key]
 
 
+_boards: dict[str, Dashboard] = {}
+
+
 def dashboard(star: A.Star) -> Dashboard:
-    """Dashboard over the stored tables."""
+    """Dashboard over the stored tables, opened once."""
     root = written(star, "tables", star.store)
-    return Dashboard(star.stored(root), star.stored_manifest(root))
+    if root not in _boards:
+        _boards[root] = Dashboard(star.stored(root), star.stored_manifest(root))
+    return _boards[root]
 
 
 def landed_sheets(star: A.Star) -> str:

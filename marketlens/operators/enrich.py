@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 from marketlens import schemas as S
 from marketlens.functions import money
 from marketlens.functions.text import parent_sku
-from marketlens.operators.skew import hot_keys, lookup_join
-from marketlens.sources.reports import keep_ready
+from marketlens.operators.skew import hot_keys, key_sketches, lookup_join, sketched_keys
+from marketlens.sources.reports import keep_ready, ready_ids
+
+# Reports whose ids a plan names one by one.
+MOST_NAMED = 5_000
+Hot = Callable[[], DataFrame] | None
 
 _AFF = {"order_id", "paid_ratio"}
 _GMV = {"line_state", "list_price", "net_qty"}
@@ -44,7 +49,8 @@ _MASTER_VALUES = ["item_group", "product_type", "warehouse_type", "unit_cost"]
 class Sources:
     """The five inputs; any of the last four may be absent.
 
-    `channels` holds `report_id, sales_channel`.
+    `channels` holds `report_id, sales_channel`, `keys` what `order_keys` keeps
+    of the order lines: with it no join counts the keys of all lines.
     """
 
     orders: DataFrame | None
@@ -52,6 +58,7 @@ class Sources:
     cashflow: DataFrame | None = None
     master: DataFrame | None = None
     channels: DataFrame | None = None
+    keys: DataFrame | None = None
 
     def order_lines(self, columns: list[str]) -> DataFrame:
         """Stored order lines; a column no report has is simply not there."""
@@ -61,19 +68,50 @@ class Sources:
         return orders.select(*[c for c in columns if c in orders.columns])
 
     def ready(self, manifest: DataFrame) -> Sources:
-        """What the ready reports of each kind hold; the others are not visible yet."""
+        """What the ready reports of each kind hold; the others are not visible yet.
+
+        The manifest is asked once, and its report ids become filters on the
+        tables' partitions; beyond MOST_NAMED reports they are joined instead.
+        """
+        named = ready_ids(manifest, MOST_NAMED)
+
         def kept(table, kind):
-            return None if table is None else keep_ready(table, manifest, kind)
+            if table is None:
+                return None
+            if named is None:
+                return keep_ready(table, manifest, kind)
+            return table.filter(F.col("report_id").isin(named.get(kind, [])))
 
         return Sources(
             kept(self.orders, "orders"), kept(self.combo, "combo"), kept(self.cashflow, "cashflow"),
-            kept(self.master, "master"), self.channels,
+            kept(self.master, "master"), self.channels, self.keys,
         )
 
     def for_report(self, report_id: str) -> Sources:
         """One report's lines with all side inputs, and no channel tags."""
         one = self.orders.filter(F.col("report_id") == report_id)
-        return Sources(one, self.combo, self.cashflow, self.master)
+        return Sources(one, self.combo, self.cashflow, self.master, keys=self.keys)
+
+    def hot(self, lines: DataFrame, column: str) -> Callable[[], DataFrame]:
+        """A way to the frequent values of a column of the stored `lines`, for joins on it."""
+        if self.keys is None:
+            return lambda: hot_keys(lines, [column])
+        return lambda: sketched_keys(self.keys, column)
+
+    def hot_skus(self, lines: DataFrame) -> Callable[[], DataFrame]:
+        """The same for parent SKUs after combos are replaced by their parts."""
+        def frequent():
+            if self.keys is None:
+                parts = explode_combo(lines, self.combo)
+                return hot_keys(parts.select(parent_sku(F.col("sku_variant")).alias("sku")), ["sku"])
+            own = sketched_keys(self.keys, "sku")
+            if self.combo is None:
+                return own
+            sold = sketched_keys(self.keys, "sku_variant")
+            parts = self.combo.join(F.broadcast(sold), F.col("combo_sku") == F.col("sku_variant"), "left_semi")
+            return own.unionByName(parts.select(parent_sku(F.col("sub_sku")).alias("sku"))).distinct()
+
+        return frequent
 
 
 def order_columns(columns: list[str], sources: Sources) -> list[str]:
@@ -110,31 +148,37 @@ def tag_channels(lines: DataFrame, channels: DataFrame | None) -> DataFrame:
     )
 
 
+def order_keys(orders: DataFrame) -> DataFrame:
+    """Sketches of the keys order lines are joined on, one row per report; kept when a report is stored."""
+    variant = F.col("sku_variant")
+    return key_sketches(orders, {"order_id": F.col("order_id"), "sku_variant": variant, "sku": parent_sku(variant)}, ["report_id"])
+
+
 def fee_per_order(cashflow: DataFrame) -> DataFrame:
     """Affiliate fee of an order over all cashflow reports."""
     return cashflow.groupBy("order_id").agg(F.sum("aff_fee").alias("order_aff_fee"))
 
 
-def join_aff_fee(lines: DataFrame, cashflow: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
+def join_aff_fee(lines: DataFrame, cashflow: DataFrame | None, hot: Hot = None) -> DataFrame:
     """The line's share of its order's affiliate fee, before combo scaling.
 
-    Here and below `keys` may give the lines as they were stored, from which
-    hot keys are found without repeating the joins before.
+    Here and below `hot` may name a way to the frequent keys that reads less
+    than the lines do after the joins before.
     """
     if cashflow is None:
         return lines.withColumn("line_aff_fee", F.lit(0.0))
     share = or_zero(lines, "paid_ratio")
-    joined = lookup_join(lines, fee_per_order(cashflow), ["order_id"], hot=_hot(lines, keys, "order_id"))
+    joined = lookup_join(lines, fee_per_order(cashflow), ["order_id"], hot=hot)
     return joined.withColumn("line_aff_fee", share * F.coalesce("order_aff_fee", F.lit(0.0))).drop("order_aff_fee")
 
 
-def explode_combo(lines: DataFrame, combo: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
+def explode_combo(lines: DataFrame, combo: DataFrame | None, hot: Hot = None) -> DataFrame:
     """Replace a combo line by its parts; other lines stay as they are with ratio 1 and no slot."""
     if combo is None:
         return lines.withColumn("ratio", F.lit(1.0)).withColumn("slot", F.lit(None).cast("int"))
     parts = combo.select(F.col("combo_sku").alias("sku_variant"), "sub_sku", "ratio", "slot")
     return (
-        lookup_join(lines, parts, ["sku_variant"], hot=_hot(lines, keys, "sku_variant"))
+        lookup_join(lines, parts, ["sku_variant"], hot=hot)
         .withColumn("sku_variant", F.coalesce("sub_sku", "sku_variant"))
         .withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
         .drop("sub_sku")
@@ -147,7 +191,7 @@ def one_per_sku(master: DataFrame, values: list[str] | None = None) -> DataFrame
 
 
 def join_master(
-    lines: DataFrame, master: DataFrame | None, values: list[str] | None = None, keys: DataFrame | None = None
+    lines: DataFrame, master: DataFrame | None, values: list[str] | None = None, hot: Hot = None
 ) -> DataFrame:
     """Labels and unit cost by parent SKU of the exploded variant; '' and 0 where there is none."""
     values = values or _MASTER_VALUES
@@ -155,14 +199,10 @@ def join_master(
     lines = lines.withColumn("sku", parent_sku(F.col("sku_variant")))
     if master is None:
         return lines.withColumns(blank)
-    joined = lookup_join(lines, one_per_sku(master, values), ["sku"], hot=_hot(lines, keys, "sku"))
+    joined = lookup_join(lines, one_per_sku(master, values), ["sku"], hot=hot)
     return joined.withColumns({v: F.coalesce(F.col(v), blank[v]) for v in values})
 
 
-def _hot(lines: DataFrame, keys: DataFrame | None, column: str):
-    return lambda: hot_keys(lines if keys is None else keys, [column])
-
-
 def enriched_values(lines: DataFrame) -> dict[str, Column]:
     """Output expressions over exploded and joined lines."""
     c = F.col
@@ -219,12 +259,10 @@ def enrich(
     if "sales_channel" in wanted:
         lines = tag_channels(lines, sources.channels)
     if wanted & _FROM_FEES:
-        lines = join_aff_fee(lines, sources.cashflow, stored)
-    lines = explode_combo(lines, sources.combo, stored)
+        lines = join_aff_fee(lines, sources.cashflow, sources.hot(stored, "order_id"))
+    lines = explode_combo(lines, sources.combo, sources.hot(stored, "sku_variant"))
     if wanted & _FROM_MASTER:
         values = [v for v in _MASTER_VALUES if v in wanted or v == "unit_cost" and wanted & {"cost", "gross_profit"}]
-        parts = explode_combo(stored, sources.combo)
-        skus = parts.select(parent_sku(F.col("sku_variant")).alias("sku"))
-        lines = join_master(lines, sources.master, values, skus)
+        lines = join_master(lines, sources.master, values, sources.hot_skus(stored))
     values = enriched_values(lines)
     return lines.select(*[values.get(c, F.col(c)).alias(c) for c in columns])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import schemas as S
@@ -13,11 +15,7 @@ KPI_COLUMNS = [
     "platform_fee", "ship_fee", "aff_fee", "cost",
 ]
 TOP_N = 8
-# Section of the summary by the column its labels come from.
-LABELLED = {
-    "timeline": "month", "top_products": "product", "category_breakdown": "category", "top_customers": "customer",
-}
-SUMMARY_COLUMNS = [*KPI_COLUMNS, "order_ts", "product", "category", "customer"]
+SUMMARY_COLUMNS = [*KPI_COLUMNS, "order_ts", "category"]
 
 
 def _kpi_sums() -> list[Column]:
@@ -74,40 +72,30 @@ def top_by_sales(lines: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
     )
 
 
-def summary_sections(lines: DataFrame, n: int = TOP_N) -> DataFrame:
-    """KPIs, timeline and top lists as `section, label, value`, from one pass over the lines.
+def summary_sections(lines: DataFrame, listed: dict[str, DataFrame], n: int = TOP_N) -> DataFrame:
+    """KPIs, timeline and top lists as `section, label, value`.
 
-    Grouping sets combine before the shuffle, so what is shuffled grows with
-    the labels, not the lines. Spark keeps n rows of a list in each partition
-    before it ranks them.
+    Lines are summed once by month and category, of which there are few; the
+    KPIs, the timeline and the categories add these sums up. `listed` brings the
+    lines for products and customers with just the label and the sales, so that
+    what is shuffled for these many labels is one number each.
     """
-    # A row without values keeps the KPIs at 0 where there are no lines; it is counted nowhere.
-    none = lines.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields])
-    both = lines.withColumn("_line", F.lit(1)).unionByName(none.withColumn("_line", F.lit(None).cast("int")))
-    columns = list(LABELLED.values())
-    grouped = (
-        both.withColumn("month", F.date_format("order_ts", "yyyy-MM"))
-        .groupingSets([[], *[[c] for c in columns]], *columns)
-        .agg(F.grouping_id().alias("_set"), F.sum("gross_sales").alias("_value"), *_kpi_sums(), F.count("_line").alias("row_count"))
-    )
-    # A bit of the set is 1 where its column is not grouped by.
-    every = (1 << len(columns)) - 1
-    sets = {every ^ (1 << (len(columns) - 1 - i)): name for i, name in enumerate(LABELLED)}
-    section, label = F.when(F.col("_set") == every, F.lit("kpis")), F.lit(None).cast("string")
-    for number, name in sets.items():
-        section = section.when(F.col("_set") == number, F.lit(name))
-        label = F.when(F.col("_set") == number, F.col(LABELLED[name])).otherwise(label)
-    named = grouped.withColumns({"section": section, "_label": label}).filter(
-        (F.col("section") == "kpis") | (F.col("row_count") > 0)
+    by_month = lines.groupBy(F.date_format("order_ts", "yyyy-MM").alias("month"), "category").agg(
+        *_kpi_sums(), F.count(F.lit(1)).alias("row_count")
     )
-    # Months are ranked each by itself, so all of them stay.
-    month = F.when(F.col("section") == "timeline", F.col("_label"))
-    best = Window.partitionBy("section", month).orderBy(F.col("_value").desc_nulls_last(), F.col("_label").asc_nulls_last())
-    kept = kpi_derived(named.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= n))
-    names = [c for c in kept.columns if c not in ("section", *columns) and not c.startswith("_")]
-    totals = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in names])
-    own = F.array(F.struct(F.col("_label").alias("label"), F.col("_value").alias("value")))
-    return kept.select("section", F.inline(F.when(F.col("section") == "kpis", totals).otherwise(own)))
+    numbers = [c for c in by_month.columns if c not in ("month", "category")]
+    totals = kpi_derived(by_month.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers]))
+    kpis = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in totals.columns])
+    sections = [totals.select(F.lit("kpis").alias("section"), F.inline(kpis))]
+
+    def add(name: str, found: DataFrame, label: str) -> None:
+        sections.append(found.select(F.lit(name).alias("section"), F.col(label).alias("label"), "value"))
+
+    add("timeline", by_month.groupBy("month").agg(F.sum("gross_sales").alias("value")), "month")
+    add("category_breakdown", top_by_sales(by_month, "category", n), "label")
+    add("top_products", top_by_sales(listed["product"], "product", n), "label")
+    add("top_customers", top_by_sales(listed["customer"], "customer", n), "label")
+    return reduce(DataFrame.unionByName, sections)
 
 
 def facets(lines: DataFrame) -> DataFrame:

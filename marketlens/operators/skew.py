@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only when Spark estimates it below this many bytes.
@@ -13,6 +13,11 @@ BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 # rows / HOT_ROWS keys can pass the mark, which bounds the broadcast key list.
 HOT_ROWS = 1_000_000
 SPREAD = 64
+# Keys a sketch keeps of a report: each key with more than a 3,000th of the
+# rows is among them, however many reports are merged, and no list is longer.
+SKETCH_KEYS = 4096
+# Columns that tell the rows of a table apart, where it has them.
+ROW_KEY = ["report_id", "line_no"]
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -30,6 +35,20 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int | None = None) -> DataF
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > mark).select(*on)
 
 
+def key_sketches(df: DataFrame, keys: dict[str, Column], by: list[str]) -> DataFrame:
+    """One row per group of `by` with a sketch of the most frequent values of each key, to be stored with the rows."""
+    named = df.select(*by, *[c.cast("string").alias(name) for name, c in keys.items()])
+    return named.groupBy(*by).agg(*[F.expr(f"approx_top_k_accumulate(`{name}`, {SKETCH_KEYS})").alias(name) for name in keys])
+
+
+def sketched_keys(sketches: DataFrame, name: str, hot_rows: int | None = None) -> DataFrame:
+    """Keys of stored sketches that hold more than `hot_rows` rows together: at most SKETCH_KEYS rows, without reading a line."""
+    mark = HOT_ROWS if hot_rows is None else hot_rows
+    merged = f"approx_top_k_estimate(approx_top_k_combine(`{name}`, {SKETCH_KEYS}), {SKETCH_KEYS})"
+    found = sketches.agg(F.expr(merged).alias("found")).select(F.explode("found").alias("f"))
+    return found.filter(F.col("f.count") > mark).select(F.col("f.item").alias(name))
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -52,7 +71,9 @@ def lookup_join(
     missing_key = F.lit(False)
     for name in on:
         missing_key = missing_key | F.col(name).isNull()
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")
+    # The row key alone where there is one, so that no other column is kept for the salt.
+    told_by = ROW_KEY if set(ROW_KEY) <= set(left.columns) else left.columns
+    salt = F.pmod(F.xxhash64(*told_by), F.lit(SPREAD)).cast("int")
     salted_left = left.join(flagged, on, "left").withColumn(
         "_salt", F.when(F.col("_hot") | missing_key, salt).otherwise(F.lit(0))
     )

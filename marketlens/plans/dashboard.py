@@ -27,7 +27,8 @@ class Dashboard:
     def of_store(cls, store: ReportStore, channels: DataFrame | None = None) -> Dashboard:
         """Over the ready reports of a store, all of one snapshot."""
         at = store.snapshot()
-        return cls(Sources(*[store.table(kind, at) for kind in ("orders", "combo", "cashflow", "master")], channels))
+        tables = [store.table(kind, at) for kind in ("orders", "combo", "cashflow", "master")]
+        return cls(Sources(*tables, channels, store.order_keys(at)))
 
     def lines(self, filters: Filters = _NO_FILTERS, columns: list[str] | None = None) -> DataFrame:
         """Enriched lines under the filters."""
@@ -72,9 +73,13 @@ class Dashboard:
     def summary_rows(self, filters: Filters = _NO_FILTERS) -> DataFrame:
         """The whole summary as one table `section, label, value`; facet rows have no value.
 
-        Two passes over the lines: one for all that follows the filters, one for the facets, which do not.
+        One pass with all sums, by month and category, gives the KPIs, the timeline and the categories; the
+        lists of products and customers take a narrow pass each, and the facets, which follow the dates only, another.
         """
-        sums = metrics.summary_sections(self.lines(filters, metrics.SUMMARY_COLUMNS))
+        sums = metrics.summary_sections(
+            self.lines(filters, metrics.SUMMARY_COLUMNS),
+            {c: self.lines(filters, [c, "gross_sales"]) for c in ("product", "customer")},
+        )
         no_value = F.lit(None).cast("double").alias("value")
         choices = self.facets(filters).select(F.col("facet").alias("section"), F.col("value").alias("label"), no_value)
         return sums.unionByName(choices)

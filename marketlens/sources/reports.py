@@ -36,6 +36,18 @@ def ready_reports(manifest: DataFrame, kind: str) -> DataFrame:
     return manifest.filter((F.col("kind") == kind) & (F.col("status") == "ready") & F.col("stored"))
 
 
+def ready_ids(manifest: DataFrame, most: int) -> dict[str, list[str]] | None:
+    """Ids of the reports that take part, by kind; None where there are more than `most`."""
+    ready = manifest.filter((F.col("status") == "ready") & F.col("stored")).select("kind", "report_id")
+    rows = ready.limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    ids: dict[str, list[str]] = {}
+    for row in rows:
+        ids.setdefault(row.kind, []).append(row.report_id)
+    return ids
+
+
 def keep_ready(table: DataFrame, manifest: DataFrame, kind: str) -> DataFrame:
     return lookup_join(table, ready_reports(manifest, kind).select("report_id"), ["report_id"], "left_semi")
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens import schemas as S
+from marketlens.operators.enrich import order_keys
 from marketlens.operators.skew import lookup_join
 
 KIND_SCHEMAS = {
@@ -114,8 +115,17 @@ class ReportStore:
         order = ["report_id", "order_ts"] if kind == "orders" else ["report_id"]
         sized = lines.select(*KIND_SCHEMAS[kind].names).hint("rebalance", "report_id").sortWithinPartitions(*order)
         sized.write.partitionBy("report_id").parquet(f"{self.root}/{kind}/version={version}")
+        if kind == "orders":
+            order_keys(self.lines_of(kind, version)).coalesce(1).write.parquet(f"{self.root}/_order_keys/version={version}")
         return version
 
+    def order_keys(self, snapshot: int | None = None) -> DataFrame:
+        """Sketches of the keys of the ready order reports, as stored with their lines."""
+        if not self._fs.exists(self._path("_order_keys")):
+            return order_keys(self.table("orders", snapshot))
+        kept = self.spark.read.parquet(f"{self.root}/_order_keys")
+        return lookup_join(kept, self._live("orders", snapshot), ["report_id", "version"], "left_semi").drop("version")
+
     def lines_of(self, kind: str, version: str) -> DataFrame:
         """What `write_lines` wrote below a version."""
         return self.spark.read.schema(KIND_SCHEMAS[kind]).parquet(f"{self.root}/{kind}/version={version}")
@@ -146,11 +156,15 @@ class ReportStore:
         schema = T.StructType([*KIND_SCHEMAS[kind].fields, T.StructField("version", T.StringType())])
         if not self._fs.exists(self._path(kind)):
             return self.spark.createDataFrame([], KIND_SCHEMAS[kind])
-        live = self.entries(snapshot).filter((F.col("kind") == kind) & (F.col("status") == "ready"))
         stored = self.spark.read.schema(schema).parquet(f"{self.root}/{kind}")
-        named = lookup_join(stored, live.select("report_id", "version"), ["report_id", "version"], "left_semi")
+        named = lookup_join(stored, self._live(kind, snapshot), ["report_id", "version"], "left_semi")
         return named.select(*KIND_SCHEMAS[kind].names)
 
+    def _live(self, kind: str, snapshot: int | None) -> DataFrame:
+        """Which version of each ready report counts."""
+        ready = (F.col("kind") == kind) & (F.col("status") == "ready")
+        return self.entries(snapshot).filter(ready).select("report_id", "version")
+
     def vacuum(self, keep: int = 2) -> int:
         """Delete reports' files that none of the newest `keep` snapshots names; returns how many reports' folders went.
 

@@ -7,7 +7,8 @@ from conftest import frame
 from marketlens import schemas as S
 from marketlens.operators import paging, skew
 from marketlens.operators.convert import with_order_facts
-from marketlens.operators.enrich import Sources, enrich
+from marketlens.operators.enrich import Sources, enrich, order_keys
+from marketlens.plans.dashboard import Dashboard
 
 
 @pytest.fixture
@@ -131,3 +132,70 @@ def test_numbering_reads_every_row_once(spark, tmp_path):
     paging.write_numbered(spark.range(500, numPartitions=4), [F.col("id").desc()], path)
     got = sorted((r.row_number, r.id) for r in paging.numbered(spark, path).collect())
     assert got == [(n, 499 - n) for n in range(500)]
+
+
+def order_lines(spark, n=600):
+    """Half of the lines has one order and one variant."""
+    hot = F.col("id") % 2 == 0
+    return spark.range(n).select(
+        F.concat(F.lit("R"), F.col("id") % 3).alias("report_id"), F.col("id").alias("line_no"),
+        F.when(hot, "hot").otherwise(F.col("id").cast("string")).alias("order_id"),
+        F.when(hot, "P1-1").otherwise(F.concat(F.lit("P"), F.col("id") % 7 + 2, F.lit("-1"))).alias("sku_variant"),
+        F.lit(1.0).alias("net_qty"), F.lit(10.0).alias("list_price"), F.lit(S.STATE_COMPLETED).alias("line_state"),
+        F.lit(0.5).alias("paid_ratio"), F.lit(10.0).alias("gross_sales"), F.lit(0.0).alias("returned_qty"),
+    )
+
+
+def side_inputs(spark):
+    combo = frame(spark, "combo_sku string, sub_sku string, ratio double, slot int", ("P1-1", "Q1-1", 0.5, 1), ("P1-1", "Q2-1", 0.5, 2))
+    cashflow = frame(spark, "order_id string, aff_fee double", ("hot", 4.0), ("3", 2.0))
+    master = frame(
+        spark, "sku string, item_group string, product_type string, warehouse_type string, unit_cost double",
+        ("P2", "a", "b", "c", 3.0), ("Q2", "a", "b", "c", 5.0),
+    )
+    return combo, cashflow, master
+
+
+def test_sketches_of_reports_name_the_hot_keys(spark):
+    kept = order_keys(order_lines(spark))
+    assert kept.count() == 3
+    assert [r.order_id for r in skew.sketched_keys(kept, "order_id", 100).collect()] == ["hot"]
+    assert [r.sku for r in skew.sketched_keys(kept, "sku", 100).collect()] == ["P1"]
+    assert skew.sketched_keys(kept, "order_id", 300).collect() == []
+    parts = Sources(order_lines(spark), side_inputs(spark)[0], keys=kept).hot_skus(order_lines(spark))
+    skew.HOT_ROWS, before = 100, skew.HOT_ROWS
+    try:
+        assert sorted(r.sku for r in parts().collect()) == ["P1", "Q1", "Q2"]
+    finally:
+        skew.HOT_ROWS = before
+
+
+def test_lines_are_scanned_once_without_broadcasts(spark, tiny_limits, tmp_path):
+    """All three joins past the broadcast limit, half of the lines on one key: the hot keys come from the sketches."""
+    for name, table in (("orders", order_lines(spark)), ("keys", order_keys(order_lines(spark)))):
+        table.write.parquet(str(tmp_path / name))
+    orders, keys = (spark.read.parquet(str(tmp_path / name)) for name in ("orders", "keys"))
+
+    def kpis(keys):
+        return Dashboard(Sources(orders, *side_inputs(spark), keys=keys)).kpis()
+
+    def scans(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return sum("line_no" in line or "order_id" in line for line in plan.splitlines() if "Relation [" in line and "gross_sales" in line)
+
+    assert scans(kpis(keys)) == 1 < scans(kpis(None))
+    assert kpis(keys).collect() == kpis(None).collect()
+
+
+def test_ready_reports_prune_partitions(spark, tmp_path):
+    order_lines(spark).write.partitionBy("report_id").parquet(str(tmp_path / "orders"))
+    order_lines(spark).select("report_id", "order_id", F.lit(1.0).alias("aff_fee")).write.partitionBy("report_id").parquet(str(tmp_path / "fees"))
+    manifest = frame(
+        spark, "report_id string, kind string, status string, stored boolean",
+        ("R1", "orders", "ready", True), ("R2", "orders", "processing", True), ("R0", "orders", "ready", False), ("R2", "cashflow", "ready", True),
+    )
+    board = Dashboard(Sources(spark.read.parquet(str(tmp_path / "orders")), cashflow=spark.read.parquet(str(tmp_path / "fees"))), manifest)
+    lines = board.lines(columns=["line_no", "aff_fee"])
+    assert lines.count() == 200
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "= R1)" in plan and "= R2)" in plan and "PartitionFilters: [isnotnull(report_id" in plan
