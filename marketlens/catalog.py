@@ -18,6 +18,7 @@ from marketlens.operators.filters import Filters
 from marketlens.plans.dashboard import Dashboard
 from marketlens.session import tune
 from marketlens.sources import reports, sheets
+from marketlens.sources.bucketed import read_with_fees, write_by_order
 from marketlens.sources.storage import work_dir
 from marketlens.sources.store import ReportStore
 from marketlens.streaming.ingest import ingest_available
@@ -578,6 +579,18 @@ def aff_fee_join(star):
     return enrich.join_aff_fee(lines, sources.cashflow).select(*KEY, "order_id", "line_aff_fee")
 
 
+@query
+def aff_fee_bucketed(star):
+    """The same shares from lines and fees stored by order, without a shuffle."""
+    def build(root):
+        sources = dashboard(star).sources
+        write_by_order(sources.order_lines([*KEY, "order_id", "paid_ratio"]), sources.cashflow, root)
+
+    lines = read_with_fees(star.spark, written(star, "by-order", build), [*KEY, "order_id", "paid_ratio"])
+    share = F.coalesce("paid_ratio", F.lit(0.0)) * F.col("order_aff_fee")
+    return lines.select(*KEY, "order_id", share.alias("line_aff_fee"))
+
+
 @query
 def master_lookup(star):
     sources = dashboard(star).sources
@@ -779,9 +792,7 @@ for _key in S.GROUP_KEYS:
 
 @query
 def grouped_total(star):
-    board = dashboard(star)
-    totals = [board.group_total(k).select(F.lit(k).alias("group_key"), "total") for k in ("sku", "order_id", "product")]
-    return totals[0].unionByName(totals[1]).unionByName(totals[2])
+    return dashboard(star).group_totals(["sku", "order_id", "product"])
 
 
 @query

@@ -24,6 +24,17 @@ def group_total(lines: DataFrame, key: str) -> DataFrame:
     return lines.agg(F.count_distinct(F.col(S.GROUP_KEYS[key])).alias("total"))
 
 
+def group_totals(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """`group_key, total` of several keys at once.
+
+    Spark takes all distinct counts from one scan: each line gives one row per
+    key, which are made distinct before anything is shuffled.
+    """
+    totals = lines.agg(*[F.count_distinct(F.col(S.GROUP_KEYS[k])).alias(k) for k in keys])
+    pairs = F.array(*[F.struct(F.lit(k).alias("group_key"), F.col(k).alias("total")) for k in keys])
+    return totals.select(F.inline(pairs))
+
+
 def group_tree(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Every level of the nested grouping by `keys` at once.
 

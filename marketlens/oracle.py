@@ -519,6 +519,7 @@ ORACLE["aff_fee_join"] = sql(
     FROM ready o LEFT JOIN fees f ON o.order_id = f.order_id""",
     "ready", "fees",
 )
+ORACLE["aff_fee_bucketed"] = ORACLE["aff_fee_join"]
 ORACLE["master_lookup"] = sql(
     f"""SELECT report_id, line_no, sku_variant, split_part(sku_variant, '-', 1) AS sku,
       coalesce(item_group, '') AS item_group, coalesce(product_type, '') AS product_type,

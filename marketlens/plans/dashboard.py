@@ -104,6 +104,9 @@ class Dashboard:
     def group_total(self, key: str, filters: Filters = _NO_FILTERS) -> DataFrame:
         return grouping.group_total(self._group_lines(filters, [key], sums=False), key)
 
+    def group_totals(self, keys: list[str], filters: Filters = _NO_FILTERS) -> DataFrame:
+        return grouping.group_totals(self._group_lines(filters, keys, sums=False), keys)
+
     def group_tree(self, keys: list[str], filters: Filters = _NO_FILTERS) -> DataFrame:
         return grouping.group_tree(self._group_lines(filters, keys), keys)
 

@@ -9,6 +9,7 @@ from marketlens.operators import paging, skew
 from marketlens.operators.convert import with_order_facts
 from marketlens.operators.enrich import Sources, enrich, order_keys
 from marketlens.plans.dashboard import Dashboard
+from marketlens.sources.bucketed import read_with_fees, write_by_order
 
 
 @pytest.fixture
@@ -199,3 +200,32 @@ def test_ready_reports_prune_partitions(spark, tmp_path):
     assert lines.count() == 200
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert "= R1)" in plan and "= R2)" in plan and "PartitionFilters: [isnotnull(report_id" in plan
+
+
+def test_fees_by_order_join_without_a_shuffle(spark, tmp_path):
+    """Also for a session that has not written the tables; lines without an id stay out of the join, spread as they come."""
+    named = F.when(F.col("line_no") % 3 != 0, F.col("order_id"))
+    lines = order_lines(spark, 900).withColumn("order_id", named.otherwise(F.when(F.col("line_no") % 2 == 0, "")))
+    fees = frame(spark, "order_id string, aff_fee double", ("hot", 4.0), ("hot", 1.0), ("7", 2.0), ("absent", 9.0), ("", 5.0))
+    root = str(tmp_path / "by-order")
+    write_by_order(lines, fees, root, buckets=4)
+    for forget in (False, True):
+        if forget:
+            for t in spark.catalog.listTables():
+                if t.name.startswith("by_order_"):
+                    spark.sql(f"DROP TABLE {t.name}")
+        got = read_with_fees(spark, root, ["line_no", "order_id"])
+        rows = {r.line_no: r.order_aff_fee for r in got.collect()}
+        assert len(rows) == 900
+        assert {r.line_no: {"hot": 5.0, "7": 2.0}.get(r.order_id, 0.0) if r.order_id else 0.0 for r in lines.collect()} == rows
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_totals_of_several_keys_from_one_scan(spark, tmp_path):
+    order_lines(spark).write.parquet(str(tmp_path / "orders"))
+    board = Dashboard(Sources(spark.read.parquet(str(tmp_path / "orders"))))
+    got = board.group_totals(["sku", "order_id", "status"])
+    assert {r.group_key: r.total for r in got.collect()} == {k: board.group_total(k).first().total for k in ("sku", "order_id", "status")}
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1
