@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +41,22 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def by_position(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The same rows with columns c0, c1, ..., and the names these had: whatever they are, they clash with nothing."""
+    return docs.toDF(*[f"c{n}" for n in range(len(docs.columns))]), docs.columns
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], Sequence[bool]]) -> DataFrame:
+    """The rows that `keep` says True to, a batch of them at a time, with all their columns."""
+    plain, names = by_position(docs)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(keep(batch.rename_columns(names)), pa.bool_()))
+
+    return plain.mapInArrow(choose, plain.schema).toDF(*names)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
