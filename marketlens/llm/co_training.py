@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import slices
+from marketlens.llm.common import filtered, slices
 from marketlens.llm.shingles import CACHED_WORDS, lower_words
 
 LABELLED = 12_000
@@ -252,9 +252,4 @@ def _judged(batch: pa.RecordBatch, model: Classifier) -> tuple[np.ndarray, ...]:
 
 def accepted(docs: DataFrame, model: Classifier, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents whose score is high enough, with all their columns."""
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield batch.filter(pa.array(_judged(batch, model)[-1] >= keep_from))
-
-    return docs.mapInArrow(choose, docs.schema)
+    return filtered(docs, lambda batch: _judged(batch, model)[-1] >= keep_from)

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import stored
+from marketlens.llm.common import by_position, stored
 
 KEY = "change this key for every corpus"
 # Surrogates of a value's own form; later ones have LONGER characters more.
@@ -274,39 +274,43 @@ def _rewritten(text: Column, tries: Column, key: str) -> Column:
     return F.get(F.transform(parts, joined), F.lit(0))
 
 
-def rewritten(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All rows and columns of docs with `text` rewritten, and `replaced`, the kinds of what was replaced."""
-    entities = stored(found(docs), "entities")
+def rewritten(docs: DataFrame, text: str, key: str = KEY) -> DataFrame:
+    """All rows and columns with the column `text` rewritten, and `replaced`, the kinds of what was replaced.
+
+    Beside it, no column may be called replaced, hash, tries or new.
+    """
+    own = F.col(text)
+    entities = stored(found(docs.select(own.alias("text"))), "entities")
     other = stored(collisions(entities, key), "tries")
-    none = F.lit(None).cast("map<string,int>")
-    has = F.col("text").rlike(HINT)
+    has = own.rlike(HINT)
     count = other.count()
     if not count:
-        rows, tries = docs, none
+        rows = docs.withColumn("tries", F.lit(None).cast("map<string,int>"))
     else:
         # Documents with an entity that takes another surrogate: each entity asks for its number.
-        asked = docs.filter(has).select(F.xxhash64("text").alias("__key"), "text").select(
-            "__key", "text", F.explode(F.transform(_entities(F.col("text")), lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon")))).alias("e")
+        asked = docs.filter(has).select(F.xxhash64(own).alias("hash"), own.alias("text")).select(
+            "hash", "text", F.explode(F.transform(_entities(F.col("text")), lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon")))).alias("e")
         )
         few = F.broadcast(other) if count <= BROADCAST_ROWS else other
-        asked = asked.select("__key", "e.kind", "e.canon").distinct().join(few, ["kind", "canon"])
-        maps = asked.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon"), "tries"))).alias("__tries"))
+        asked = asked.select("hash", "e.kind", "e.canon").distinct().join(few, ["kind", "canon"])
+        maps = asked.groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon"), "tries"))).alias("tries"))
         maps = stored(maps, "maps")
-        rows = docs.withColumn("__key", F.when(has, F.xxhash64("text")))
-        rows = rows.join(F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps, "__key", "left")
-        tries = F.col("__tries")
-    new = rows.withColumn("__new", F.when(has, _rewritten(F.col("text"), tries, key)))
-    text = F.when(F.col("__new").isNull(), F.col("text")).otherwise(F.col("__new.text")).alias("text")
-    columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return new.select(*columns, F.coalesce(F.col("__new.kinds"), F.array().cast("array<string>")).alias("__replaced"))
+        rows = docs.withColumn("hash", F.when(has, F.xxhash64(own)))
+        rows = rows.join(F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps, "hash", "left")
+    rows = rows.withColumn("new", F.when(has, _rewritten(own, F.col("tries"), key)))
+    new = F.when(F.col("new").isNull(), own).otherwise(F.col("new.text")).alias(text)
+    kinds = F.coalesce(F.col("new.kinds"), F.array().cast("array<string>")).alias("replaced")
+    return rows.select(*[new if c == text else c for c in docs.columns], kinds)
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, the rewritten text, and the kinds of the entities replaced in order."""
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    return rewritten(own, key).select("doc_id", "text", F.size("__replaced").cast("long").alias("n_replaced"), F.concat_ws(",", "__replaced").alias("kinds"))
+    kinds = F.col("replaced")
+    return rewritten(own, "text", key).select("doc_id", "text", F.size(kinds).cast("long").alias("n_replaced"), F.concat_ws(",", kinds).alias("kinds"))
 
 
 def cleaned(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with all their columns, their texts rewritten."""
-    return rewritten(docs, key).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = by_position(docs)
+    return rewritten(rows, f"c{names.index('text')}", key).drop("replaced").toDF(*names)

@@ -214,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1000)) < int(1000 * GROWN_ON)
     own = measured.join(few, "doc_id").select("bad", "base_failed", part.alias("grow"), *MEASURES)
     # Filtered only once it is written: a filter pushed below would compute the measures again for itself.
-    rows = stored(own.coalesce(2), "labelled").filter("NOT base_failed")
+    rows = stored(own, "labelled").coalesce(2).filter("NOT base_failed")
     cuts = _cuts(rows)
     rows = stored(_binned(rows, cuts), "binned")
     rules: list[Rule] = []

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import frame
-from marketlens.llm import co_training, decontamination, kneser_ney, near_dedup, packing, pii, suffix_dedup, token_counts, token_orc
+from marketlens.llm import co_training, decontamination, kneser_ney, near_dedup, packing, pii, shingles, suffix_dedup, token_counts, token_orc
 from marketlens.llm.common import scratch
 from marketlens.llm.deep_shallow import deep_shallow_sort
 from marketlens.llm.queries import QUERIES
@@ -319,8 +319,35 @@ def test_copies_of_questions_with_few_words(spark):
         spark, "doc_id long, text string", (1, "He wrote: What is 12 * 7? Nobody knew."), (2, "What is 12 - 7? What is 12 * 8?"),
         (3, "Before it. " + figures + " After it."), (4, figures.replace("list: ", "list: 1 ").replace(" 2", " 3").replace(" 1", " 4").replace("5", "6")), (5, "he saw Big red round apples"), (6, None), (7, "* - 7"),
     )
-    assert {(r.doc_id, r.item_id, r.changed_slots) for r in decontamination.contaminated(docs, benchmark).collect()} == {(1, 1, 0), (3, 2, 0), (5, 3, 0)}
-    assert {r.doc_id for r in decontamination.decontaminated(docs, benchmark).collect()} == {2, 4, 6, 7}
+    assert {(r.doc_id, r.item_id, r.changed_slots) for r in decontamination.contaminated(docs, benchmark).collect()} == {(1, 1, 0), (2, 1, 1), (3, 2, 0), (4, 2, 12), (5, 3, 0)}
+    assert {r.doc_id for r in decontamination.decontaminated(docs, benchmark).collect()} == {6, 7}
+
+
+def test_short_questions_with_other_numbers(spark, monkeypatch):
+    """By template and signs, slots one to one; the benchmark in several blocks."""
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 1)
+    questions = ["What is 12 * 7?", "7 8 9 10", "Tom has 3 apples and buys 5 more, how many does he have?", "Add 4 and 4 to 9."]
+    asked = {
+        "What is 15 * 9?": {0}, "What is 15 + 9?": set(), "What is 12 * 12?": set(), "7 8 9 10": {1}, "7 8 9 11": set(),
+        "Well, Anna has 13 apples and buys 25 more, how many does he have?": {2}, "Add 6 and 6 to 2.": {3}, "Add 6 and 5 to 2.": set(),
+        "What is 3 apples": set(), "What is 12 *": set(), "12 * 7? What is": set(),
+    }
+    docs = frame(spark, "doc_id long, text string", *[(n, t) for n, t in enumerate(asked)])
+    benchmark = frame(spark, "item_id long, text string", *enumerate(questions))
+    assert len(list(decontamination.blocks(benchmark))) > 1
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert got == {(n, q) for n, qs in enumerate(asked.values()) for q in qs}
+
+
+def test_texts_looked_into_are_those_that_share_a_window():
+    rng = np.random.default_rng(4)
+    words_ = [f"word{n}" for n in range(40)] + ["Anna", "7", "12.5", "km", "*", "+", "end.", "\n"]
+    questions = [(n, " ".join(rng.choice(words_, rng.integers(1, 30)))) for n in range(60)]
+    texts = [" ".join(rng.choice(words_, rng.integers(0, 40))) for _ in range(300)] + [None, ""]
+    texts += [f"{a} {q} {b}" for (_, q), a, b in zip(questions, texts[:60], texts[60:120], strict=True)]
+    index = decontamination.Index(questions)
+    assert index.found(texts) == [index.find(t) for t in texts]
+    assert any(index.found(texts))
 
 
 def test_local_search_reaches_all_underfull_bins():
@@ -328,3 +355,76 @@ def test_local_search_reaches_all_underfull_bins():
     bins = packing.pack(size, 4096)
     assert sorted(i for b in bins for i in b) == list(range(1000)) and all(sum(size[i] for i in b) <= 4096 for b in bins)
     assert len(packing.best_fit(size, 4096)) >= 400 and len(bins) < 395  # 400 when only the 48 emptiest bins are looked at
+
+
+def test_near_dedup_in_a_crowd_below_the_threshold(spark):
+    """Many texts of one template, similar to 0.71 and linked with nothing, and pairs among them at 0.76: all are found, and little else is tried."""
+    base = [f"w{n}" for n in range(300)]
+    texts, links = [], []
+    for n in range(1500):
+        own = list(base)
+        own[5::30] = [f"x{n}q{p}" for p in range(10)]
+        texts.append(own)
+    for n in range(120):
+        own = list(texts[n * 7])
+        own[20:250:30] = [f"y{n}q{p}" for p in range(8)]
+        links.append((n * 7, len(texts)))
+        texts.append(own)
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    want = {n: n for n in range(1500)} | {b: a for a, b in links}
+    assert got == want
+
+
+def met(texts, spanning, block=0):
+    sets = [shingles.shingle_set(t) for t in texts]
+    odd = []
+    for s in sets:
+        bits = near_dedup.sketch_bits(len(s))
+        parity = np.bincount((s >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64), minlength=bits) & 1
+        odd.append(np.packbits(parity.astype(np.uint8)).tobytes())
+    ids = np.arange(len(texts))
+    cell = near_dedup.Cell(ids, ids, np.array([len(s) for s in sets]), ids % (block + 1), odd)
+    return {tuple(sorted(p)) for p in cell.pairs(spanning)}, sets
+
+
+def test_odd_sketches_let_every_similar_pair_pass(spark):
+    """Sets of very different sizes, so sketches of several widths; most pairs that are not similar are ruled out."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for size in (3, 20, 300, 3000, 4090, 4200, 9000):
+        base = [f"s{size}w{n}" for n in range(size)]
+        for k in range(8):
+            own = [w for n, w in enumerate(base) if n < size * (1 - 0.02 * k)]
+            for at in rng.choice(len(own), rng.integers(0, max(2, size // 60)), replace=False):
+                own[at] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(own))
+    found, sets = met(texts, False)
+    similar = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                similar.add((i, j))
+    assert similar <= found and len(found - similar) < len(found) / 4
+    across, _ = met(texts, False, block=1)
+    assert across == {(i, j) for i, j in found if (i - j) % 2}
+    forest, _ = met(texts, True)
+    assert forest <= found and len(forest) < len(texts)
+
+
+def test_groups_larger_than_a_task(spark, monkeypatch):
+    """Blocks of a large group meet in cells of two."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "HELD", 9)
+    monkeypatch.setattr(near_dedup, "FIRST_TREES", (3,))
+    rng = np.random.default_rng(8)
+    base = [f"w{n}" for n in range(150)]
+    rows = {}
+    for d in range(90):
+        own = list(base)
+        for at in rng.choice(150, rng.integers(1, 6), replace=False):
+            own[at] = f"x{rng.integers(40)}"
+        rows[d] = " ".join(own)
+    got = near_dedup.near_duplicates(frame(spark, "doc_id long, text string", *rows.items())).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_groups(rows)

@@ -10,19 +10,19 @@ from marketlens.llm import (
 )
 from marketlens.llm.common import scratch
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node long, start long, replaced int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node long, start long, replaced int, `a.b` int, __key string, hash int, c0 string"
 LONG = " ".join(f"word{n % 977} thing{n}" for n in range(12_000))
 ROWS = [
-    (1, "alpha beta gamma delta epsilon zeta eta theta. Mail me@here.example or 10.1.2.3", "en", "s", 70, "x", 1, 2, 3),
-    (1, "alpha beta gamma delta epsilon zeta eta theta. Mail me@here.example or 10.1.2.3", "en", "s", 70, "x", 1, 2, 3),
-    (2, None, None, None, None, None, None, None, None),
-    (3, "", "", "", 0, "", 0, 0, 0),
-    (4, " \t\n ", "en", "s", 4, "x", 1, 1, 1),
-    (5, LONG, "en", "s", len(LONG), "x", 1, 1, 1),
-    (6, LONG, "en", "t", len(LONG), "x", 1, 1, 1),
-    (7, "two words", "de", "s", 9, "x", 1, 1, 1),
-    (None, "no id but text of some words", "de", "s", 28, "x", 1, 1, 1),
-    (8, "Ünïcode ß 漢字 🙂 é", "xx", "s", 18, "x", 1, 1, 1),
+    (1, "alpha beta gamma delta epsilon zeta eta theta. Mail me@here.example or 10.1.2.3", "en", "s", 70, "x", 1, 2, 3, 4, "k", 5, "c"),
+    (1, "alpha beta gamma delta epsilon zeta eta theta. Mail me@here.example or 10.1.2.3", "en", "s", 70, "x", 1, 2, 3, 4, "k", 5, "c"),
+    (2, None, None, None, None, None, None, None, None, None, None, None, None),
+    (3, "", "", "", 0, "", 0, 0, 0, 0, "", 0, ""),
+    (4, " \t\n ", "en", "s", 4, "x", 1, 1, 1, 4, "k", 5, "c"),
+    (5, LONG, "en", "s", len(LONG), "x", 1, 1, 1, 4, "k", 5, "c"),
+    (6, LONG, "en", "t", len(LONG), "x", 1, 1, 1, 4, "k", 5, "c"),
+    (7, "two words", "de", "s", 9, "x", 1, 1, 1, 4, "k", 5, "c"),
+    (None, "no id but text of some words", "de", "s", 28, "x", 1, 1, 1, 4, "k", 5, "c"),
+    (8, "Ünïcode ß 漢字 🙂 é", "xx", "s", 18, "x", 1, 1, 1, 4, "k", 5, "c"),
 ]
 
 
