@@ -34,16 +34,14 @@ DIGITS = {"paid_ratio": 6, "ratio": 6, "parsed": 6}
 def present(df: DataFrame) -> DataFrame:
     """Comparable output: amounts to two digits, ratios to six, timestamps as text.
 
-    Amounts first pass through the decimal digits that sums of doubles agree on
-    in any order, six below ten million and four above, so that half a cent is
-    always rounded up.
+    Amounts first pass through six decimal digits, so that half a cent is
+    always rounded up, whatever a double makes of it.
     """
     def shown(field):
         c = f"`{field.name}`"
         if isinstance(field.dataType, T.DoubleType):
             digits = DIGITS.get(field.name, 2)
-            fine, coarse = (f"round(CAST({c} AS DECIMAL(38, {kept})), {digits})" for kept in (6, 4))
-            return f"CAST(CASE WHEN abs({c}) < 1e7 THEN {fine} ELSE {coarse} END AS DOUBLE) AS {c}"
+            return f"CAST(round(CAST({c} AS DECIMAL(38, 6)), {digits}) AS DOUBLE) AS {c}"
         if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
             return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss') AS {c}"
         if isinstance(field.dataType, T.DateType):
@@ -297,7 +295,7 @@ def convert_adjustments(star):
 @query
 def ready_reports(star):
     ready = reports.keep_ready(stored_orders(star), star.manifest(), "orders")
-    return ready.groupBy("report_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("gross_sales").alias("gross_sales"))
+    return ready.groupBy("report_id").agg(F.count(F.lit(1)).alias("lines"), money.shown_sum(F.col("gross_sales")).alias("gross_sales"))
 
 
 @query

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from marketlens import schemas as S
 
 
+# Sums keep ten digits after the point and up to 28 before it.
+EXACT = "decimal(38,10)"
+
+
+def exact_sum(amount: Column) -> Column:
+    """Sum that does not depend on the order of the rows; an amount of 1e28 or more, which no cell means, counts as none.
+
+    Doubles become decimals one by one, so partial sums add up without rounding.
+    """
+    return F.sum(amount.try_cast(EXACT))
+
+
+def shown_sum(amount: Column) -> Column:
+    """The same as a double, 0 where there is nothing to add."""
+    return F.coalesce(exact_sum(amount), F.lit(0)).cast("double")
+
+
 def net_quantity(qty: Column, returned: Column) -> Column:
     return qty - returned
 

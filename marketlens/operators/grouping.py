@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import schemas as S
+from marketlens.functions.money import exact_sum, shown_sum
 
 
-def group_sums(source: DataFrame, row_count=None) -> list:
-    """Row count and the fourteen sums; sums of nothing are 0."""
+def group_sums(row_count: str | None = None, summed: Callable[[Column], Column] = shown_sum) -> list[Column]:
+    """Row count and the fourteen sums; sums of nothing are 0. `row_count` names the counts of rows that are sums already."""
     count = F.count(F.lit(1)) if row_count is None else F.sum(row_count)
-    return [count.alias("row_count"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in S.GROUP_SUMS]]
+    return [count.alias("row_count"), *[summed(F.col(c)).alias(c) for c in S.GROUP_SUMS]]
 
 
 def grouped(lines: DataFrame, key: str) -> DataFrame:
     """Aggregates per value of a group key, as `group_value`."""
-    return lines.groupBy(F.col(S.GROUP_KEYS[key]).alias("group_value")).agg(*group_sums(lines))
+    return lines.groupBy(F.col(S.GROUP_KEYS[key]).alias("group_value")).agg(*group_sums())
 
 
 def group_total(lines: DataFrame, key: str) -> DataFrame:
@@ -43,12 +46,12 @@ def group_tree(lines: DataFrame, keys: list[str]) -> DataFrame:
     deeper key columns are NULL.
     """
     columns = [S.GROUP_KEYS[k] for k in keys]
-    leaves = lines.groupBy(*columns).agg(*group_sums(lines))
+    leaves = lines.groupBy(*columns).agg(*group_sums(summed=exact_sum))
     # grouping_id has one bit per rolled-up key, so depth n has n leading zeros.
     depth = F.lit(len(columns)) - F.bit_count(F.grouping_id())
     return (
         leaves.rollup(*columns)
-        .agg(*group_sums(leaves, row_count="row_count"), depth.cast("int").alias("depth"))
+        .agg(*group_sums("row_count"), depth.cast("int").alias("depth"))
         .filter(F.col("depth") > 0)
         .select("depth", *columns, "row_count", *S.GROUP_SUMS)
     )

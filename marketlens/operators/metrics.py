@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import schemas as S
-from marketlens.functions.money import scoped
+from marketlens.functions.money import exact_sum, scoped, shown_sum
 
 KPI_COLUMNS = [
     "gross_sales", "line_state", "list_price", "net_qty", "returned_qty", "discount", "voucher",
@@ -18,7 +19,7 @@ TOP_N = 8
 SUMMARY_COLUMNS = [*KPI_COLUMNS, "order_ts", "category"]
 
 
-def _kpi_sums() -> list[Column]:
+def _kpi_sums(summed: Callable[[Column], Column] = shown_sum) -> list[Column]:
     c = F.col
     state = c("line_state")
 
@@ -38,7 +39,7 @@ def _kpi_sums() -> list[Column]:
         "aff_fee": c("aff_fee"),
         "cost": scoped(state, c("cost")),
     }
-    return [F.coalesce(F.sum(v), F.lit(0.0)).alias(name) for name, v in totals.items()]
+    return [summed(v).alias(name) for name, v in totals.items()]
 
 
 def kpi_totals(lines: DataFrame) -> DataFrame:
@@ -59,14 +60,14 @@ def kpi_derived(totals: DataFrame) -> DataFrame:
 def monthly_timeline(lines: DataFrame) -> DataFrame:
     """Gross sales per calendar month, oldest first."""
     month = F.date_format("order_ts", "yyyy-MM").alias("month")
-    return lines.groupBy(month).agg(F.sum("gross_sales").alias("value")).orderBy("month")
+    return lines.groupBy(month).agg(shown_sum(F.col("gross_sales")).alias("value")).orderBy("month")
 
 
 def top_by_sales(lines: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
     """The n labels with the highest gross sales; equal sums in label order."""
     return (
         lines.groupBy(F.col(column).alias("label"))
-        .agg(F.sum("gross_sales").alias("value"))
+        .agg(shown_sum(F.col("gross_sales")).alias("value"))
         .orderBy(F.col("value").desc_nulls_last(), F.col("label").asc_nulls_last())
         .limit(n)
     )
@@ -81,17 +82,17 @@ def summary_sections(lines: DataFrame, listed: dict[str, DataFrame], n: int = TO
     what is shuffled for these many labels is one number each.
     """
     by_month = lines.groupBy(F.date_format("order_ts", "yyyy-MM").alias("month"), "category").agg(
-        *_kpi_sums(), F.count(F.lit(1)).alias("row_count")
+        *_kpi_sums(exact_sum), F.count(F.lit(1)).alias("row_count")
     )
     numbers = [c for c in by_month.columns if c not in ("month", "category")]
-    totals = kpi_derived(by_month.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers]))
+    totals = kpi_derived(by_month.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in numbers]))
     kpis = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in totals.columns])
     sections = [totals.select(F.lit("kpis").alias("section"), F.inline(kpis))]
 
     def add(name: str, found: DataFrame, label: str) -> None:
         sections.append(found.select(F.lit(name).alias("section"), F.col(label).alias("label"), "value"))
 
-    add("timeline", by_month.groupBy("month").agg(F.sum("gross_sales").alias("value")), "month")
+    add("timeline", by_month.groupBy("month").agg(shown_sum(F.col("gross_sales")).alias("value")), "month")
     add("category_breakdown", top_by_sales(by_month, "category", n), "label")
     add("top_products", top_by_sales(listed["product"], "product", n), "label")
     add("top_customers", top_by_sales(listed["customer"], "customer", n), "label")

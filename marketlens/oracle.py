@@ -27,8 +27,12 @@ def in_list(values) -> str:
 
 
 def money(expr: str, digits: int = 2) -> str:
-    fine, coarse = (f"round(CAST(({expr}) AS DECIMAL(38, {kept})), {digits})" for kept in (6, 4))
-    return f"CAST(CASE WHEN abs({expr}) < 1e7 THEN {fine} ELSE {coarse} END AS DOUBLE)"
+    return f"CAST(round(CAST(({expr}) AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
+
+
+def exact(expr: str) -> str:
+    """A sum that does not depend on the order of the rows."""
+    return f"coalesce(sum(TRY_CAST(({expr}) AS DECIMAL(38, 10))), 0)::DOUBLE"
 
 
 def ratio(expr: str) -> str:
@@ -467,7 +471,7 @@ ORACLE["reconverted_orders"] = sql(
     },
 )
 ORACLE["ready_reports"] = sql(
-    f"""SELECT report_id, count(*) AS lines, {money('sum(gross_sales)')} AS gross_sales FROM ord
+    f"""SELECT report_id, count(*) AS lines, {money(exact('gross_sales'))} AS gross_sales FROM ord
     WHERE report_id IN (SELECT report_id FROM reports WHERE status = 'ready' AND y <> 1998) GROUP BY report_id""",
     "ord", "reports",
 )
@@ -571,7 +575,7 @@ def filtered(name, where, *extra):
 
 
 def group_sums() -> str:
-    return "count(*) AS row_count, " + ", ".join(f"{money(f'sum({c})')} AS {c}" for c in S.GROUP_SUMS)
+    return "count(*) AS row_count, " + ", ".join(f"{money(exact(c))} AS {c}" for c in S.GROUP_SUMS)
 
 
 def grouped(name, column, where="TRUE", tail=""):
@@ -648,7 +652,7 @@ _DERIVED = {"net_revenue": "net_revenue", "nmv": "nmv", "gross_profit": "gross_p
 
 
 def totals(columns) -> str:
-    return ", ".join(f"{money(f'coalesce(sum({e}), 0)')} AS {n}" for n, e in columns.items()) + ", count(*) AS row_count"
+    return ", ".join(f"{money(exact(e))} AS {n}" for n, e in columns.items()) + ", count(*) AS row_count"
 
 
 ORACLE["kpi_totals"] = sql(f"SELECT {totals(_TOTALS)} FROM enr", "enr")
@@ -673,14 +677,14 @@ ORACLE["uploaded_kpis"] = sql(f"SELECT {totals(_TOTALS | _DERIVED)} FROM enr", "
 
 def timeline(where="TRUE") -> str:
     return (
-        f"SELECT strftime(order_ts, '%Y-%m') AS month, {money('sum(gross_sales)')} AS value FROM enr "
+        f"SELECT strftime(order_ts, '%Y-%m') AS month, {money(exact('gross_sales'))} AS value FROM enr "
         f"WHERE {where} GROUP BY 1"
     )
 
 
 def top(column, where="TRUE") -> str:
     return (
-        f"SELECT label, {money('v')} AS value FROM (SELECT {column} AS label, sum(gross_sales) AS v FROM enr "
+        f"SELECT label, {money('v')} AS value FROM (SELECT {column} AS label, {exact('gross_sales')} AS v FROM enr "
         f"WHERE {where} GROUP BY 1 ORDER BY v DESC, label LIMIT 8)"
     )
 
@@ -703,7 +707,7 @@ ORACLE["facets"] = sql(facets(f"order_ts >= '{DATE_FROM}'::DATE"), "enr")
 def summary(where, dates_only) -> str:
     numbers = {**_TOTALS, **_DERIVED}
     parts = [
-        f"SELECT 'kpis' AS section, '{n}' AS label, {money(f'coalesce(sum({e}), 0)')} AS value FROM enr WHERE {where}"
+        f"SELECT 'kpis' AS section, '{n}' AS label, {money(exact(e))} AS value FROM enr WHERE {where}"
         for n, e in numbers.items()
     ]
     parts.append(f"SELECT 'kpis', 'row_count', {money('count(*)::DOUBLE')} FROM enr WHERE {where}")
@@ -736,7 +740,7 @@ ORACLE["grouped_total"] = sql(
     ),
     "enr",
 )
-grouped("grouped_page", "sku", tail="ORDER BY sum(nmv) NULLS LAST, sku LIMIT 15 OFFSET 30")
+grouped("grouped_page", "sku", tail=f"ORDER BY {exact('nmv')} NULLS LAST, sku LIMIT 15 OFFSET 30")
 grouped("grouped_nested", "line_state", "category = 'SMALL' AND sales_channel = 'Sàn B'")
 ORACLE["grouped_tree_rollup"] = sql(
     f"""SELECT 1 AS depth, category, NULL AS line_state, NULL AS product, {group_sums()} FROM enr GROUP BY category
