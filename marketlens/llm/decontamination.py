@@ -13,10 +13,11 @@ size a task holds easily; every block is joined with all documents.
 
 Defined cases: null and empty texts have no tokens and are never found; a
 question of fewer tokens than a window is one window of its own; windows with
-fewer than `LEAST_WORDS` words besides slots, and all of a question of one window,
-are also found where their tokens, the values in the slots and the signs that
-stand alone between them are the same, so that every copy is found; questions
-that repeat are found each; a null doc_id is carried, a null item_id too;
+fewer than `LEAST_WORDS` words besides slots are found by their template where the
+signs that stand alone between the tokens are the same as well (`What is 12 * 7?`
+is found as `What is 15 * 9?`, not as `What is 15 + 9?`), and with fewer than
+`DENSE_WORDS` words only with the same values in the slots, as is any question of
+one window: every copy is found; questions that repeat are found each; a null doc_id is carried, a null item_id too;
 repeated rows give repeated results; further columns are ignored.
 """
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import slices
+from marketlens.llm.common import filtered, slices
 from marketlens.llm.shingles import FACTOR, mixed
 
 WINDOW = 8
 LEAST_WORDS = 4
+DENSE_WORDS = 2
 COVERED = 0.5
 BLOCK_ITEMS = 20_000
 CACHED_WORDS = 500_000
@@ -62,6 +65,7 @@ class Words(dict):
         self.hashes: list[int] = []
         self.kinds: list[int] = []
         self.ends: list[bool] = []
+        self._arrays = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool))
 
     def __missing__(self, raw: bytes) -> int:
         text = raw.decode("utf-8", "surrogatepass")
@@ -84,52 +88,64 @@ class Words(dict):
         number = self[raw] = len(self)
         return number
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, kinds and ends of all words by their numbers; only what is new is converted."""
+        known = len(self._arrays[0])
+        if known < len(self):
+            new = (self.hashes[known:], np.uint64), (self.kinds[known:], np.int64), (self.ends[known:], bool)
+            self._arrays = tuple(np.concatenate([old, np.array(part, t)]) for old, (part, t) in zip(self._arrays, new, strict=True))
+        return self._arrays
+
 
 _words = Words()
 
 
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").replace(b"\0", b" ").replace(b"\n", b" \0 ").split()
+
+
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template hashes, kinds and value hashes of a text's tokens, and hashes of the signs that stand alone before them."""
+    return templates([text])[1:]
+
+
+def templates(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """The same of all tokens of several texts, after the number of the text each token is of."""
     global _words
     if len(_words) > CACHED_WORDS:
         _words = Words()
-    raw = (text or "").encode("utf-8", "surrogatepass").replace(b"\0", b" ").replace(b"\n", b" \0 ").split()
-    at = np.fromiter(map(_words.__getitem__, raw), np.int64, len(raw))
-    return _typed(at)
-
-
-def _typed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    own, back = np.unique(at, return_inverse=True)
-    value = np.fromiter((_words.hashes[i] for i in own), np.uint64, len(own))[back]
-    kind = np.fromiter((_words.kinds[i] for i in own), np.int64, len(own))[back]
-    ends = np.fromiter((_words.ends[i] for i in own), bool, len(own))[back]
+    raw = [_split(t) for t in texts]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    at = np.fromiter(map(_words.__getitem__, chain.from_iterable(raw)), np.int64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    value, kind, ends = (known[at] for known in _words.arrays())
     starts = np.ones(len(at), bool)
-    starts[1:] = ends[:-1]
+    starts[1:] = ends[:-1] | (owner[1:] != owner[:-1])
     kind = np.where((kind == NAME) & starts, LITERAL, kind)
     full = kind < NOTHING
     signs = np.cumsum(np.where(kind == NOTHING, value, np.uint64(0)), dtype=np.uint64)[full]
     signs[1:] -= signs[:-1].copy()
-    value, kind = value[full], kind[full]
+    value, kind, owner = value[full], kind[full], owner[full]
     after_number = np.zeros(len(kind), bool)
-    after_number[1:] = kind[:-1] == NUM
+    after_number[1:] = (kind[:-1] == NUM) & (owner[1:] == owner[:-1])
     kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
-    return np.where(kind == LITERAL, value, SLOT_HASHES[kind]), kind, value, signs
+    return owner, np.where(kind == LITERAL, value, SLOT_HASHES[kind]), kind, value, signs
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of a width, and which of them have words enough."""
+    """Hashes of all windows of a width, and how many words besides slots each has."""
     n = len(hashes) - width + 1
     if n < 1 or width < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rolled = np.full(n, width, np.uint64)
     for k in range(width):
         rolled = rolled * FACTOR + hashes[k : k + n]
     words = np.r_[0, np.cumsum(kinds == LITERAL)]
-    return mixed(rolled), words[width:] - words[:-width] >= LEAST_WORDS
+    return mixed(rolled), words[width:] - words[:-width]
 
 
 def exact_windows(values: np.ndarray, signs: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the windows at some places, with the values in the slots and the signs inside."""
+    """Hashes of the windows at some places, of tokens (with or without the values in the slots) and the signs inside."""
     rolled = np.full(len(places), width, np.uint64)
     for k in range(width):
         rolled = rolled * FACTOR + values[places + k]
@@ -138,51 +154,75 @@ def exact_windows(values: np.ndarray, signs: np.ndarray, places: np.ndarray, wid
     return mixed(rolled)
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 class Index:
-    """Windows of a block of questions: those with words enough by their template, others by their values."""
+    """Windows of a block of questions: those with words enough by their template, others by their signs too, or by their values."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items: list[tuple] = []
         found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        exact: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        firsts: dict[int, set[int]] = defaultdict(set)
+        # By width and by what tells the windows: template tokens (0) or values (1).
+        exact: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        firsts: dict[tuple[int, int], set[int]] = defaultdict(set)
         for item_id, text in items:
             hashes, kinds, values, signs = template(text)
             width = min(WINDOW, len(hashes))
             if not width:
                 continue
-            rolled, enough = windows(hashes, kinds, width)
-            for i in np.flatnonzero(enough).tolist():
+            rolled, words = windows(hashes, kinds, width)
+            for i in np.flatnonzero(words >= LEAST_WORDS).tolist():
                 found[width][int(rolled[i])].append((len(self.items), i))
-            others = np.flatnonzero(~enough | (len(enough) == 1))
-            for i, own in zip(others.tolist(), exact_windows(values, signs, others, width).tolist(), strict=True):
-                exact[width][own].append((len(self.items), i))
-                firsts[width].add(int(values[i]))
+            dense = np.flatnonzero((words < LEAST_WORDS) & (words >= DENSE_WORDS))
+            others = np.flatnonzero((words < DENSE_WORDS) | (len(words) == 1))
+            for by, tokens, places in ((0, hashes, dense), (1, values, others)):
+                for i, own in zip(places.tolist(), exact_windows(tokens, signs, places, width).tolist(), strict=True):
+                    exact[width, by][own].append((len(self.items), i))
+                    firsts[width, by].add(int(tokens[i]))
             self.items.append((item_id, len(hashes), kinds, values))
         self.by_width = {w: (np.array(sorted(d), np.uint64), dict(d)) for w, d in found.items()}
-        self.exact = {w: (np.array(sorted(firsts[w]), np.uint64), dict(d)) for w, d in exact.items()}
+        self.exact = {
+            at: (np.array(sorted(firsts[at]), np.uint64), np.array(sorted(d), np.uint64), dict(d)) for at, d in exact.items()
+        }
 
-    def hits(self, hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(question, its window, width, place in the document) of every shared window."""
+    def hits(self, owner: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray, signs: np.ndarray) -> Iterator[tuple]:
+        """(width, places, hashes, table) of the windows shared with questions, of the texts `owner` names."""
         for width, (known, where) in self.by_width.items():
-            rolled, enough = windows(hashes, kinds, width)
-            at = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
-            for place in np.flatnonzero((known[at] == rolled) & enough).tolist():
-                for item, window in where[int(rolled[place])]:
-                    yield item, window, width, place
-        for width, (first, where) in self.exact.items():
-            begin = values[: max(0, len(values) - width + 1)]
-            places = np.flatnonzero(first[np.minimum(np.searchsorted(first, begin), len(first) - 1)] == begin)
-            for place, own in zip(places.tolist(), exact_windows(values, signs, places, width).tolist(), strict=True):
-                for item, window in where.get(own, ()):
-                    yield item, window, width, place
+            rolled, words = windows(hashes, kinds, width)
+            inside = owner[: len(rolled)] == owner[width - 1 :][: len(rolled)]
+            places = np.flatnonzero(_among(rolled, known) & (words >= LEAST_WORDS) & inside)
+            yield width, places, rolled[places], where
+        for (width, by), (first, known, where) in self.exact.items():
+            tokens, count = (hashes, values)[by], max(0, len(hashes) - width + 1)
+            places = np.flatnonzero(_among(tokens[:count], first) & (owner[:count] == owner[width - 1 :][:count]))
+            rolled = exact_windows(tokens, signs, places, width)
+            shared = _among(rolled, known)
+            yield width, places[shared], rolled[shared], where
+
+    def touched(self, texts: list[str | None]) -> np.ndarray:
+        """Which texts share a window with a question: one pass over the windows of all texts together."""
+        tokens = templates(texts)
+        touched = np.zeros(len(texts), bool)
+        for _, places, _, _ in self.hits(*tokens):
+            touched[tokens[0][places]] = True
+        return touched
+
+    def found(self, texts: list[str | None]) -> list[list[tuple]]:
+        """Of each text what `find` says; only texts that share a window are looked into."""
+        return [self.find(t) if hit else [] for t, hit in zip(texts, self.touched(texts).tolist(), strict=True)]
 
     def find(self, text: str | None) -> list[tuple]:
         """(item_id, windows, covered share, changed slots) of the questions a text holds."""
-        hashes, kinds, values, signs = template(text)
+        tokens = templates([text])
+        values = tokens[3]
         lines: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        for item, window, width, place in self.hits(hashes, kinds, values, signs):
-            lines[item][place - window].add((window, width))
+        for width, places, rolled, where in self.hits(*tokens):
+            for place, own in zip(places.tolist(), rolled.tolist(), strict=True):
+                for item, window in where[own]:
+                    lines[item][place - window].add((window, width))
         out = []
         for item, aligned in sorted(lines.items()):
             item_id, size, own_kinds, own_values = self.items[item]
@@ -234,11 +274,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                out = [
-                    (doc_id, *hit)
-                    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for hit in index.find(text)
-                ]
+                found = index.found(batch.column(1).to_pylist())
+                out = [(doc_id, *hit) for doc_id, hits in zip(batch.column(0).to_pylist(), found, strict=True) for hit in hits]
                 columns = list(zip(*out, strict=True)) if out else [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
                 names = ["doc_id", "item_id", "n_windows", "covered", "changed_slots"]
@@ -253,10 +290,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no question is found, with all their columns."""
     for index in blocks(benchmark):
-
-        def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not index.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = filtered(docs, lambda batch, index=index: [not hits for hits in index.found(batch.column("text").to_pylist())])
     return docs
