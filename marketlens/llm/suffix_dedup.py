@@ -13,8 +13,11 @@ found, within and between documents, judged on the input.
    deep-shallow sorting; two runs share the window at an offset if their common
    prefixes reach far enough on both sides, so equal windows are the cells of
    both orders' prefix classes.
-4. A group of more than `HOT_RUNS` kinds is not sent to one task: its windows
-   are counted one by one, combined before the shuffle.
+4. A group of more than `HOT_RUNS` kinds is not sent to one task. Its windows are
+   halved by the offset of the anchor: all windows of a half hold the same stretch
+   before and after the anchor, and fall into smaller groups by it, of runs cut
+   to what the half needs, where many become equal. Groups still too large are
+   halved again, at most eight times; the others are sorted like any group.
 
 Defined cases: a null text has no bytes; a text shorter than the window, or an
 empty one, loses nothing; all rows count as documents, also such that repeat a
@@ -43,6 +46,7 @@ SPAN = WINDOW - GRAM  # offsets of an anchor in its window: 0 to SPAN
 CHUNK_BITS = 20
 HOT_RUNS = 2000
 BATCH_RUNS = 40_000
+HALF = ["mark", "print", "lo", "hi", "n", "key", "start", "windows", "offset", "run"]
 FACTOR = 0xBF58476D1CE4E5B9
 _TABLE = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -232,25 +236,54 @@ def sorted_groups(variants: DataFrame) -> DataFrame:
     return ordered.mapInArrow(work, "key long, low long, high long")
 
 
-def counted_groups(variants: DataFrame) -> DataFrame:
-    """The same for groups of any size, by counting every window of their runs."""
+def halves(rows: DataFrame) -> DataFrame:
+    """Runs of large groups cut to either half of their offsets, in groups by what all windows of the half hold.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: anchor, lo and hi (the offsets the group is about), and the run's n, key, start, windows, offset, run.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for n, key, start, windows, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for i in range(windows):
-                    print_ = xxhash.xxh3_128_digest(data[i : i + WINDOW])
-                    out.append((n, key, start + i, print_))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["n", "key", "low", "window"])
-
-    windows = variants.select("n", "key", "start", "windows", "run").mapInArrow(explode, "n long, key long, low long, window binary")
-    windows = stored(windows, "windows")
-    several = windows.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window")
-    own = windows.filter("n = 1").join(several, "window")
-    return own.select("key", "low", (F.col("low") + WINDOW).alias("high"))
+            for anchor, lo, hi, n, key, start, windows, offset, run in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                middle = (lo + hi) // 2
+                for low, high in ((lo, middle), (middle + 1, hi)):
+                    first, last = min(offset, high), max(offset - windows + 1, low)
+                    if first < last:
+                        continue
+                    count, at = first - last + 1, offset - first
+                    own = run[at : at + count - 1 + WINDOW]
+                    held = own[first - low : first] + own[first + GRAM : first + GRAM + SPAN - high]
+                    mark = xxhash.xxh3_128_digest(held + anchor.to_bytes(8, "big", signed=True) + low.to_bytes(1, "big"))
+                    out.append((mark, xxhash.xxh3_128_digest(own), low, high, n, key, start + at, count, first, own))
+            columns = list(zip(*out, strict=True)) if out else [()] * 10
+            kinds = (pa.binary(), pa.binary(), *[pa.int64()] * 7, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], HALF)
+
+    schema = ", ".join(f"{n} {'binary' if n in ('mark', 'print', 'run') else 'long'}" for n in HALF)
+    return rows.select("anchor", "lo", "hi", "n", "key", "start", "windows", "offset", "run").mapInArrow(cut, schema)
+
+
+def large_groups(variants: DataFrame) -> list[DataFrame]:
+    """The same ranges of groups of any size, halved until a task holds each."""
+    rows = variants.select("*", F.lit(0).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"))
+    found, same = [], ["mark", "print", "windows", "offset"]
+    while True:
+        rows = stored(halves(rows), "halves")
+        if rows.isEmpty():
+            return found
+        kinds = rows.groupBy(*same).agg(F.sum("n").alias("total"), F.min(F.struct("key", "start")).alias("one"))
+        kinds = stored(kinds.select(*same, "total", "one.key", "one.start"), "kinds")
+        # Runs that are equal where the half looks repeat in all its windows.
+        several = kinds.filter("total > 1").select(*same)
+        high = (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("high")
+        found.append(rows.filter("n = 1").join(several, same, "left_semi").select("key", F.col("start").alias("low"), high))
+        sizes = kinds.groupBy("mark").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        left = rows.drop("n").join(kinds.withColumnRenamed("total", "n"), [*same, "key", "start"]).join(sizes, "mark")
+        left = stored(left.withColumn("anchor", F.xxhash64("mark")), "variants")
+        small = left.filter(F.col("kinds") <= HOT_RUNS)
+        found.append(sorted_groups(small.select("anchor", F.lit(0).alias("span"), "n", "key", "start", "windows", "offset", "run")))
+        rows = left.filter(F.col("kinds") > HOT_RUNS)
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
@@ -276,8 +309,10 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         shared.filter("mixed").join(copied, ["anchor", "span"], "left_semi").select("key", F.col("start").alias("low"), whole)
     )
     parts = sorted_groups(variants.filter("hot IS NULL").drop("hot"))
-    counted = counted_groups(variants.filter("hot").drop("hot"))
-    return copies.unionByName(parts).unionByName(counted)
+    found = copies.unionByName(parts)
+    for more in large_groups(variants.filter("hot").drop("hot")):
+        found = found.unionByName(more)
+    return found
 
 
 def with_ranges(docs: DataFrame) -> DataFrame:
