@@ -16,9 +16,9 @@
    whole and without cuts: nodes meet by odd sketches of their sets, bitmaps of
    the parity of shingles. Two bitmaps differ in at most as many bits as the sets
    differ in shingles, so a pair that differs in more cannot reach the threshold,
-   and few others pass. Groups too large for a task are dealt to cells of two
-   blocks, each pair of blocks in one. Again a spanning forest between what is
-   not connected is confirmed.
+   and few others pass. Groups too large for a task are dealt to cells: one for
+   each pair of blocks, and one for each block by itself. Again a spanning forest
+   between what is not connected is confirmed.
 5. Where a link of such a forest was refuted, what it stood for is not settled:
    all pairs of those groups that pass and are still unconnected are confirmed.
 
@@ -36,6 +36,7 @@ get the same result; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import by_position, slices, stored
+from marketlens.llm.common import batches_of, by_position, slices, stored
 from marketlens.llm.components import components
 from marketlens.llm.shingles import shingle_set
 
@@ -57,6 +58,10 @@ FIRST_TREES = (0, 5, 10, 15)
 HELD = 4 * REGION
 # Nodes of a block in the second pass; a task holds two blocks.
 BLOCK = 4096
+# Rows, of whole texts or sets, that pass to Python at once.
+ROWS_AT_ONCE = 1024
+# Pairs a task of the second pass gives out at once.
+PAIRS_AT_ONCE = 20_000
 # Bits of the odd sketch of a small set, and of the largest.
 LEAST_BITS, MOST_BITS = 4096, 1 << 17
 THRESHOLD_PERCENT = 75
@@ -348,9 +353,8 @@ def open_groups(keyed: DataFrame, component: DataFrame) -> DataFrame:
     held = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     held = held.filter("low < high").select("tree", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = rows.join(held, ["tree", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # With one block it meets itself; with more, each cell holds two, and each pair of blocks shares one.
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
-    met = met.withColumn("other", F.explode(others))
+    # A block meets every block, itself included: its own nodes in the cell of it alone, the others' in cells of two.
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.select("tree", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component")
 
 
@@ -361,14 +365,16 @@ def met_pairs(rows: DataFrame, odd: DataFrame, spanning: bool) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def run() -> pa.RecordBatch:
+        def run() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             block, node, component, size = (table.column(n).to_numpy() for n in columns[4:8])
-            found = list(Cell(node, component, size, block, table.column("odd").to_pylist()).pairs(spanning))
-            pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
-            tree, key = (np.full(len(pairs), table.column(n)[0].as_py()) for n in ("tree", "key"))
-            arrays = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(tree, pa.int32()), pa.array(key, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["a", "b", "tree", "key"])
+            found = Cell(node, component, size, block, table.column("odd").to_pylist()).pairs(spanning)
+            while part := list(islice(found, PAIRS_AT_ONCE)):
+                pairs = np.sort(np.array(part, np.int64), axis=1)
+                tree, key = (np.full(len(pairs), table.column(n)[0].as_py()) for n in ("tree", "key"))
+                arrays = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(tree, pa.int32()), pa.array(key, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "tree", "key"])
 
         cell = None
         for batch in batches:
@@ -378,12 +384,11 @@ def met_pairs(rows: DataFrame, odd: DataFrame, spanning: bool) -> DataFrame:
                 if at == to:
                     continue
                 if held and tuple(cells[at]) != cell:
-                    yield run()
-                    held.clear()
+                    yield from run()
                 cell = tuple(cells[at])
                 held.append(batch.slice(at, to - at))
         if held:
-            yield run()
+            yield from run()
 
     dealt = rows.join(odd, "node").select(*columns)
     dealt = dealt.repartition("tree", "key", "x", "y").sortWithinPartitions("tree", "key", "x", "y")
@@ -427,6 +432,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    with batches_of(docs.sparkSession, ROWS_AT_ONCE):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     known = stored(sketches(docs), "sketches")
     nodes = (
         known.filter("doc_id IS NOT NULL AND n_shingles > 0")

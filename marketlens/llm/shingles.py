@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SHINGLE_WORDS = 5
-CACHED_WORDS = 700_000
+CACHED_WORDS = 100_000
 LOWER_A_TO_Z = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 

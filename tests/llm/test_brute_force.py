@@ -428,3 +428,18 @@ def test_groups_larger_than_a_task(spark, monkeypatch):
         rows[d] = " ".join(own)
     got = near_dedup.near_duplicates(frame(spark, "doc_id long, text string", *rows.items())).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_groups(rows)
+
+
+def test_every_pair_of_a_large_group_meets_once(spark, monkeypatch):
+    """Nodes of one block meet too, in the cell of that block alone."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    keyed = spark.range(40).selectExpr("id AS node", "0 AS tree", "5L AS key")
+    rows = near_dedup.open_groups(keyed, spark.createDataFrame([], "node long, component long")).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.x, r.y), []).append((r.node, r.block))
+    met = [
+        tuple(sorted((a, b))) for (x, y), own in cells.items() for i, (a, p) in enumerate(own) for b, q in own[i + 1 :] if x == y or p != q
+    ]
+    assert len({p for _, own in cells.items() for _, p in own}) > 1
+    assert sorted(met) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
