@@ -1,4 +1,5 @@
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -198,3 +199,21 @@ def test_outcomes_follow_the_reports(spark, tmp_path):
         "good": ("ready", True, 3, None), "empty": ("failed", False, None, "no_valid_rows"),
         "later": ("processing", False, None, None),
     }
+
+
+def test_a_stream_converts_each_report_once(spark, tmp_path):
+    """Which reports have lines is noted while they are written."""
+    landing, runs = str(tmp_path / "landing"), tmp_path / "runs"
+    runs.mkdir()
+    sheet_rows(spark, "R1", 0, 3).coalesce(1).write.partitionBy("report_id").parquet(landing)
+
+    def convert_all(sheet):
+        def noted(batches):
+            (runs / uuid.uuid4().hex).touch()
+            yield from batches
+
+        return sheet.mapInArrow(noted, sheet.schema)
+
+    ingest_available(spark, landing, str(tmp_path / "target"), str(tmp_path / "checkpoint"), convert_all)
+    assert reports.read_reports(spark, str(tmp_path / "target")).count() == 3
+    assert len(list(runs.iterdir())) == 1
