@@ -229,3 +229,15 @@ def test_totals_of_several_keys_from_one_scan(spark, tmp_path):
     assert {r.group_key: r.total for r in got.collect()} == {k: board.group_total(k).first().total for k in ("sku", "order_id", "status")}
     final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1
+
+
+def test_order_facts_are_kept(spark, tiny_limits):
+    """Hot orders and the join read the facts of orders where they were written, not the lines again."""
+    lines = skewed(spark).select(
+        F.lit("R1").alias("report_id"), F.coalesce("k", F.lit("")).alias("order_key"), F.col("id").alias("line_no"),
+        F.lit("2026-01-01").cast("timestamp_ntz").alias("order_ts"), F.lit(1.0).alias("buyer_paid"),
+    )
+    got = with_order_facts(lines)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 3000") == 1 and any("order-facts" in f for f in got.inputFiles())
+    assert got.count() == 3000
