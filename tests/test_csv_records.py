@@ -111,3 +111,10 @@ def test_uploads_are_scanned_once(spark, tmp_path):
     for df in (rows, mapping.header_listing(headers)):
         assert not any(str(tmp_path / "in") in f for f in df.inputFiles())
     assert rows.select(F.size("cells").alias("n")).distinct().collect()[0].n == 4
+
+
+def test_records_are_put_together_once(spark, tmp_path):
+    """Rows and headers come from whole records, not each time from the lines."""
+    write(tmp_path / "in", "r.csv", sheet_text(1, 50))
+    rows, _ = sheets.read_sheets(spark, str(tmp_path / "in"), "csv")
+    assert not any("/lines/" in f for f in rows.inputFiles())
