@@ -241,3 +241,25 @@ def test_order_facts_are_kept(spark, tiny_limits):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (0, 3000") == 1 and any("order-facts" in f for f in got.inputFiles())
     assert got.count() == 3000
+
+
+def test_order_facts_in_place_move_no_line(spark, tiny_limits):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        i = F.col("id")
+        order_key = F.when(i % 5 == 0, "").otherwise((i % 40).cast("string"))
+        orders = spark.range(40).select(F.col("id").alias("number"), (F.col("id") % 2).cast("string").alias("report_id"))
+        lines = spark.range(1000).select(
+            (i % 40).alias("number"), i.alias("line_no"), order_key.alias("order_key"),
+            F.when(i % 7 != 0, F.lit("2026-01-01").cast("timestamp_ntz")).alias("order_ts"),
+            F.when(i % 3 != 0, i.cast("double")).alias("buyer_paid"),
+        ).join(orders, "number")
+        got = with_order_facts(lines, dealt_by="number")
+        want = with_order_facts(lines)
+        shown = ["report_id", "line_no", "paid_ratio", "ship_fee"]
+        assert sorted(got.select(shown).collect()) == sorted(want.select(shown).collect())
+        # The windows need no other exchange than the join's two; the nameless lines go on their own.
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(number") == 4 and plan.count("hashpartitioning(report_id") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
