@@ -80,3 +80,11 @@ def test_errors_per_kind(spark):
         nothing = mapping.map_by_score(headers(spark, ["zzz"]), S.COMBO_KEYWORDS)
         found = mapping.mapping_errors(headers(spark, ["zzz"]), nothing, kind).first()
         assert found.error == "no_key_column"
+
+
+def test_headers_are_dealt_by_report_before_they_become_candidates(spark):
+    one_task = headers(spark, LONG_SHEET, LONG_SHEET[::-1]).coalesce(1)
+    for map_headers in (mapping.map_orders, mapping.map_combo):
+        plan = map_headers(one_task)._jdf.queryExecution().executedPlan().toString()
+        above, below = plan.split("Generate", 1)
+        assert "Exchange" not in above and below.count("Exchange hashpartitioning(report_id") == 1
