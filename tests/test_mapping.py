@@ -1,5 +1,6 @@
 from conftest import frame
 from marketlens import schemas as S
+from marketlens.adapters.star_schema import Star
 from marketlens.operators import mapping
 
 # Every field has a header of a strong keyword and decoys of weaker ones around it.
@@ -88,3 +89,9 @@ def test_headers_are_dealt_by_report_before_they_become_candidates(spark):
         plan = map_headers(one_task)._jdf.queryExecution().executedPlan().toString()
         above, below = plan.split("Generate", 1)
         assert "Exchange" not in above and below.count("Exchange hashpartitioning(report_id") == 1
+
+
+def test_uploads_of_a_small_file_are_spread_before_they_become_headers(spark):
+    listed = Star(spark, "/root/testdata/sf0.001").shop_headers([LONG_SHEET])
+    above, below = listed._jdf.queryExecution().executedPlan().toString().split("Generate", 1)
+    assert "Exchange" not in above and "REPARTITION_BY_NUM" in below
