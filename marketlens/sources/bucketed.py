@@ -23,7 +23,7 @@ from marketlens.operators.enrich import fee_per_order
 
 KEY = "order_id"
 # Lines a bucket is meant to hold: sorted in one task.
-BUCKET_LINES = 2_000_000
+BUCKET_LINES = 500_000
 
 
 def write_by_order(lines: DataFrame, cashflow: DataFrame, root: str, buckets: int | None = None) -> None:

@@ -263,3 +263,12 @@ def test_order_facts_in_place_move_no_line(spark, tiny_limits):
         assert plan.count("Exchange hashpartitioning(number") == 4 and plan.count("hashpartitioning(report_id") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_bucket_by_order_stays_short_for_one_task(spark, tmp_path):
+    lines = spark.range(1_200_000).select(F.lit("R1").alias("report_id"), F.col("id").alias("line_no"), (F.col("id") % 300_000).cast("string").alias("order_id"))
+    fees = spark.range(100).select(F.col("id").cast("string").alias("order_id"), F.lit(1.0).alias("aff_fee"))
+    write_by_order(lines, fees, str(tmp_path / "by-order"))
+    assert {r.buckets for r in spark.read.parquet(str(tmp_path / "by-order/layout")).collect()} == {3}
+    got = read_with_fees(spark, str(tmp_path / "by-order"), ["line_no"])
+    assert got.count() == 1_200_000 and got.agg(F.sum("order_aff_fee")).first()[0] == 400
