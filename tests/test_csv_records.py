@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,38 @@ def test_records_are_put_together_once(spark, tmp_path):
     write(tmp_path / "in", "r.csv", sheet_text(1, 50))
     rows, _ = sheets.read_sheets(spark, str(tmp_path / "in"), "csv")
     assert not any("/lines/" in f for f in rows.inputFiles())
+
+
+def line_batches(rng, sep):
+    """Lines of some blocks in file order, cut into batches at any place; and what a walk over them finds."""
+    pieces = [sep, '"', '"', '""', "a", "é", " ", sep + '"', '"' + sep]
+    lines = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 40))]
+    places = sorted((rng.choice("ab"), rng.randrange(3)) for _ in lines)
+    want, block, state = [], None, None
+    for place, line in zip(places, lines, strict=True):
+        if place != block:
+            block, state = place, (False, True)
+        after = tuple(csv_records.stays_open(line, inside, sep) for inside in state)
+        want.append((*state, *after))
+        state = after
+    ids, blocks = zip(*places, strict=True)
+    table = [pa.array(ids), pa.array(blocks, pa.int64()), pa.array(range(len(lines)), pa.int64()), pa.array(lines)]
+    whole = pa.RecordBatch.from_arrays(table, ["report_id", "block", "line_no", "value"])
+    cuts = sorted({0, len(lines), *(rng.randrange(len(lines)) for _ in range(3))})
+    return [whole.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)], want
+
+
+@pytest.mark.parametrize("sep", [",", ";", "|", "\t", "^", "]", "-", "\\", ".", "||"])
+def test_states_by_running_sums_are_those_of_a_walk(sep):
+    rng = random.Random(sep)
+    for _ in range(100):
+        batches, want = line_batches(rng, sep)
+        found = pa.Table.from_batches(list(csv_records._with_states(sep)(iter(batches))))
+        assert list(zip(*[c.to_pylist() for c in found.columns[4:]], strict=True)) == want
+
+
+def test_no_line_is_walked_over_for_its_state(monkeypatch):
+    batches, want = line_batches(random.Random(1), ",")
+    monkeypatch.setattr(csv_records, "stays_open", None)
+    found = pa.Table.from_batches(list(csv_records._with_states(",")(iter(batches))))
+    assert list(zip(*[c.to_pylist() for c in found.columns[4:]], strict=True)) == want
