@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from conftest import frame
 from marketlens import schemas as S
+from marketlens.adapters import star_schema
 from marketlens.operators import paging, skew
 from marketlens.operators.convert import with_order_facts
 from marketlens.operators.enrich import Sources, enrich, order_keys
 from marketlens.plans.dashboard import Dashboard
+from marketlens.sources import reports
 from marketlens.sources.bucketed import read_with_fees, write_by_order
 
 
@@ -272,3 +274,29 @@ def test_a_bucket_by_order_stays_short_for_one_task(spark, tmp_path):
     assert {r.buckets for r in spark.read.parquet(str(tmp_path / "by-order/layout")).collect()} == {3}
     got = read_with_fees(spark, str(tmp_path / "by-order"), ["line_no"])
     assert got.count() == 1_200_000 and got.agg(F.sum("order_aff_fee")).first()[0] == 400
+
+
+def test_dealt_lines_are_written_where_they_lie(spark, tmp_path):
+    lines = spark.range(4000).select(F.concat(F.lit("R"), F.col("id") % 2).alias("report_id"), F.col("id").alias("line_no"))
+    files = {}
+    for dealt in (True, False):
+        path = tmp_path / str(dealt)
+        reports.write_reports(lines.repartition(4, "line_no"), str(path), dealt)
+        files[dealt] = [len(list((path / f"report_id={r}").glob("part-*"))) for r in ("R0", "R1")]
+        back = reports.read_reports(spark, str(path))
+        assert back.count() == 4000 == back.select("report_id", "line_no").distinct().count()
+    assert files == {True: [4, 4], False: [1, 1]}
+
+
+@pytest.mark.parametrize(("limit", "dealt"), [(0, True), (1 << 40, False)])
+def test_only_a_large_table_is_stored_as_the_join_has_dealt_it(spark, monkeypatch, limit, dealt):
+    class Seen(Exception):
+        pass
+
+    def first(table, path, dealt):
+        raise Seen(dealt)
+
+    monkeypatch.setattr(skew, "BROADCAST_MAX_BYTES", limit)
+    monkeypatch.setattr(star_schema, "write_reports", first)
+    with pytest.raises(Seen, match=str(dealt)):
+        star_schema.Star(spark, "/root/testdata/sf0.001").store("unused")
