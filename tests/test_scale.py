@@ -300,3 +300,61 @@ def test_only_a_large_table_is_stored_as_the_join_has_dealt_it(spark, monkeypatc
     monkeypatch.setattr(star_schema, "write_reports", first)
     with pytest.raises(Seen, match=str(dealt)):
         star_schema.Star(spark, "/root/testdata/sf0.001").store("unused")
+
+
+def written_parts(spark, folder, parts):
+    """Tables of a star schema: parts of few names and types, 4,000 orders with two lines each."""
+    ids = spark.range(parts).select(F.col("id").alias("p_partkey"), F.lit("bolt").alias("p_name"), F.lit("steel").alias("p_type"))
+    ids.coalesce(1).write.parquet(f"{folder}/part.parquet")
+    customers = spark.range(50).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name"))
+    orders = spark.range(4000).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 60).alias("o_custkey"), F.lit(100.0).alias("o_totalprice"), F.lit("F").alias("o_orderstatus"),
+        F.lit("1996-05-01").cast("timestamp_ntz").alias("o_orderdate"),
+    )
+    lines = spark.range(8000).select(
+        F.expr("id div 2").alias("l_orderkey"), (F.col("id") * 7 % (parts + 9)).alias("l_partkey"), (F.col("id") % 5).alias("l_suppkey"),
+        (F.col("id") % 2 + 1).cast("int").alias("l_linenumber"), F.lit(2.0).alias("l_quantity"), F.lit(20.0).alias("l_extendedprice"),
+        F.lit(0.1).alias("l_discount"), F.lit("N").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+    )
+    for name, table in (("customer", customers), ("orders", orders), ("lineitem", lines)):
+        table.write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_many_parts_in_a_small_file_are_not_broadcast(spark, tmp_path):
+    written_parts(spark, str(tmp_path), 1_000_000)
+    size = sum(f.stat().st_size for f in (tmp_path / "part.parquet").glob("*.parquet"))
+    assert size < 12e6  # in memory more than ten times as much
+    star = star_schema.Star(spark, str(tmp_path))
+    lines = star.typed_lines(["line_no", "product", "customer"])
+    assert "_salt" in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.count() == 8000
+    assert {(r.product, r["count"]) for r in lines.groupBy("product").count().collect()} == {("bolt", 8000)}
+    assert lines.filter(F.col("customer") == S.UNKNOWN).count() == 1320
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 40])
+def test_lines_are_dealt_by_order_whatever_the_size_of_the_parts(spark, monkeypatch, tmp_path, limit):
+    written_parts(spark, str(tmp_path), 300)
+    monkeypatch.setattr(skew, "BROADCAST_MAX_BYTES", limit)
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        star = star_schema.Star(spark, str(tmp_path))
+        lines = star.joined(["product", "customer"])
+        shuffles = [t._jdf.queryExecution().executedPlan().toString().count("Exchange hash") for t in (lines, lines.groupBy("l_orderkey").count())]
+        assert shuffles[0] == shuffles[1] > 0
+        got = sorted(map(str, lines.select("l_orderkey", "l_linenumber", "p_name", "c_name", "o_custkey").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = star.table("lineitem").join(star.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    plain = plain.join(star.table("part"), F.col("l_partkey") == F.col("p_partkey"), "left").join(star.table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    assert got == sorted(map(str, plain.select("l_orderkey", "l_linenumber", "p_name", "c_name", "o_custkey").collect()))
+    assert len(got) == 8000
+
+
+def test_frequent_keys_keep_their_type(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    rows = spark.range(400).select(F.when(F.col("id") % 4 == 0, F.col("id") % 3).when(F.col("id") % 4 != 1, F.lit(7)).cast("long").alias("k"))
+    found = skew.frequent_keys(rows, "k")
+    assert found.schema["k"].dataType == rows.schema["k"].dataType
+    assert [r.k for r in found.collect()] == [7]
