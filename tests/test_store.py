@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from conftest import by, frame
 from marketlens import schemas as S
-from marketlens.operators import intake
+from marketlens.operators import intake, mapping
 from marketlens.plans.dashboard import Dashboard
 from marketlens.sources.sheets import read_sheets
-from marketlens.sources.store import ReportStore
+from marketlens.sources import store as stored
+from marketlens.sources.store import KIND_SCHEMAS, ReportStore
 from marketlens.streaming.uploads import ingest_uploads, take_in
 
 GIVEN = "report_id string, field string, header string"
@@ -163,3 +164,49 @@ def test_scans_are_pruned_to_the_reports_that_count(spark, store):
         assert "PartitionFilters: [isnotnull(report_id" in scan.toString()
     finally:
         spark.sql("set spark.sql.adaptive.enabled=true")
+
+
+def written_reports(spark, kinds):
+    """Two reports a kind: one complete, of three lines, and one without a mapping."""
+    complete = {k: next(iter(mapping.REQUIRED[k].values()))[0] for k in kinds}
+    complete = {k: fields + (["revenue"] if k == "orders" else ["aff_fee"] if k == "cashflow" else []) for k, fields in complete.items()}
+    return [
+        intake.Written(
+            kind, f"v-{kind}",
+            frame(spark, "report_id string, header_pos int, header string", *[(r, n, f"{kind}{n}") for r in ("a", "b") for n in (1, 0)]),
+            frame(spark, GIVEN, *[("a", f, f"h {f}") for f in complete[kind]]),
+            frame(spark, "report_id string, n int", ("a", 1), ("a", 2), ("a", 2)),
+            frame(spark, GIVEN, ("a", "x", "y"), ("a", "x2", "y")) if kind in ("orders", "combo") else None,
+        )
+        for kind in kinds
+    ]
+
+
+def test_outcomes_of_all_kinds_are_one_plan(spark):
+    kinds = list(KIND_SCHEMAS)
+    found = intake.outcomes(written_reports(spark, kinds))
+    got = {(r.kind, r.report_id): r for r in found.collect()}
+    assert set(got) == {(k, r) for k in kinds for r in ("a", "b")}
+    for kind in kinds:
+        good, bad = got[kind, "a"], got[kind, "b"]
+        assert (good.status, good.row_count, good.error, good.version, good.headers) == ("ready", 3, None, f"v-{kind}", [f"{kind}0", f"{kind}1"])
+        assert (bad.status, bad.row_count, bad.error, bad.version, bad.mapping) == ("failed", None, next(iter(mapping.REQUIRED[kind])), None, None)
+        assert set(good.mapping) >= set(next(iter(mapping.REQUIRED[kind].values()))[0])
+        assert good.overridden == (kind in ("orders", "combo")) and not bad.overridden
+    # Five kinds are not shuffled more often than one.
+    plans = [intake.outcomes(written_reports(spark, some))._jdf.queryExecution().executedPlan().toString() for some in (["orders"], kinds)]
+    shuffles = [plan.count("Exchange") for plan in plans]
+    assert shuffles[0] == shuffles[1] > 0
+
+
+def test_formats_of_a_kind_are_planned_one_by_one(spark, tmp_path, store, monkeypatch):
+    released = []
+    monkeypatch.setattr(stored, "release", lambda session: released.append(session))
+    root = tmp_path / "in"
+    put(root, "adjustments/x.csv", "Mã giao dịch,Số tiền điều chỉnh\nT1,-3\n")
+    put(root, "adjustments/y.json", '{"Mã giao dịch": "T2", "Số tiền điều chỉnh": "-4"}\n')
+    ingest(spark, tmp_path, store)
+    assert sorted((r.report_id, r.transaction_id, r.amount) for r in store.table("adjustments").collect()) == [
+        ("adjustments/x.csv", "T1", -3), ("adjustments/y.json", "T2", -4),
+    ]
+    assert len(released) == 2
